@@ -12,7 +12,7 @@ from ..functions.text import terms, tokens
 from ..operators import analytics, features, metrics, registry, vocabulary
 from ..operators.split import Split, split_counts, stratified_split
 from ..sources import csv, store
-from ..sources.shared import materialize, new_path
+from ..sources.shared import materialize, new_path, spread
 from ..streaming import jobs
 from . import scoring, training, views
 from .views import rounded
@@ -29,7 +29,8 @@ def small_model(spark: SparkSession, sf_dir: str) -> training.TrainedModel:
     """The model of a data folder, fitted once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        _models[key] = training.train(articles(spark, sf_dir), "article_id", params=SMALL)
+        labelled = spread(articles(spark, sf_dir), "article_id")
+        _models[key] = training.train(labelled, "article_id", params=SMALL)
     return _models[key]
 
 
@@ -45,13 +46,18 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.prepared_articles(articles(spark, sf_dir), "article_id").withColumnRenamed(
-        LABEL, "category"
-    )
+    labelled = spread(articles(spark, sf_dir), "article_id")
+    return training.prepared_articles(labelled, "article_id").withColumnRenamed(LABEL, "category")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(views.table(spark, sf_dir, "documents"), "doc_id")
 
 
 def split(spark: SparkSession, sf_dir: str) -> Split:
-    return stratified_split(prepared(spark, sf_dir), "article_id", "category")
+    """The split needs keys and labels only, so the texts are read once and not at every pass."""
+    keys = materialize(prepared(spark, sf_dir).select("article_id", "category"), "keys")
+    return stratified_split(keys, "article_id", "category")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +161,8 @@ def prepared_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the log would keep of every document that is more than white space."""
-    documents = scoring.without_blank(views.table(spark, sf_dir, "documents"), "text")
-    labelled = documents.select(
+    kept = scoring.without_blank(views.table(spark, sf_dir, "documents"), "text")
+    labelled = kept.select(
         "doc_id", "text", F.col("source").alias("predicted_category"), F.lit(0.5).alias("confidence")
     )
     return store.log_rows(labelled, "doc_id").select(
@@ -175,9 +181,10 @@ def split_counts_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- features ---------------------------------------------------------------------------------
 
 
-def words(spark: SparkSession, sf_dir: str, split_rows: DataFrame | None = None) -> DataFrame:
-    rows = prepared(spark, sf_dir) if split_rows is None else split_rows
-    return rows.withColumn("words", tokens("prepared_text"))
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir).select(
+        "article_id", "category", tokens("prepared_text").alias("words")
+    )
 
 
 def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,9 +207,9 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    parts = split(spark, sf_dir)
-    train = parts.rows.where("split = 'train'")
-    return materialize(words(spark, sf_dir, train).select("words"), "words"), parts.n_train
+    every = materialize(words(spark, sf_dir), "words")
+    parts = stratified_split(every, "article_id", "category")
+    return parts.rows.where("split = 'train'"), parts.n_train
 
 
 def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,8 +361,7 @@ def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, keys and violations of what every scored table promises."""
     model = small_model(spark, sf_dir).model
     classes = scoring.classes_of(model)
-    documents = views.table(spark, sf_dir, "documents")
-    scored = scoring.score(model, documents, probabilities=True)
+    scored = scoring.score(model, documents(spark, sf_dir), probabilities=True)
     values = F.map_values("probabilities")
     total = F.aggregate(values, F.lit(0.0), lambda a, p: a + p)
     confidence, label = F.col("confidence"), F.col("predicted_category")
@@ -377,8 +383,8 @@ def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored into the log; the columns that do not depend on the forest."""
     log_path, _ = store.create_tables(spark, new_path(spark, "store"))
-    documents = views.table(spark, sf_dir, "documents")
-    scoring.score_and_log(small_model(spark, sf_dir).model, documents, log_path, "doc_id")
+    model = small_model(spark, sf_dir).model
+    scoring.score_and_log(model, documents(spark, sf_dir), log_path, "doc_id")
     return store.read_log(spark, log_path).select("id", "text", "model_version")
 
 
@@ -416,8 +422,8 @@ def stream_score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     streamed = stream_scores(spark, sf_dir).select(
         "id", F.col("predicted_category").alias("streamed"), F.col("confidence").alias("c")
     )
-    documents = scoring.without_blank(views.table(spark, sf_dir, "documents"), "text")
-    batch = scoring.score(small_model(spark, sf_dir).model, documents).select(
+    kept = scoring.without_blank(documents(spark, sf_dir), "text")
+    batch = scoring.score(small_model(spark, sf_dir).model, kept).select(
         F.col("doc_id").alias("id"), "predicted_category", "confidence"
     )
     same = (F.col("streamed") == F.col("predicted_category")) & (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,13 +61,14 @@ def log_rows(
     """Rows in the shape of the log: text cut for storage, version defaulted, UTC day.
 
     The key is the caller's, since a running number would need one task. Without `timestamp_col`
-    a row carries the time of the query.
+    a row carries the time of the query. A row without text or category fails the job, as both
+    columns of the log are required.
     """
     stamp = F.col(timestamp_col).cast("timestamp") if timestamp_col else F.current_timestamp()
     return scored.select(
         F.col(id_col).cast("long").alias("id"),
-        log_text(text_col).alias("text"),
-        "predicted_category",
+        _required(log_text(text_col), "text").alias("text"),
+        _required(F.col("predicted_category"), "category").alias("predicted_category"),
         F.col("confidence").cast("double").alias("confidence"),
         stamp.alias("timestamp"),
         F.coalesce(F.lit(version).cast("string"), F.lit("Unknown")).alias("model_version"),
@@ -81,10 +82,9 @@ def append_predictions(rows: DataFrame, path: str, many_days: bool = False) -> N
     A backfill over `many_days` is rebalanced on the day first, so that files are of even size:
     small days are merged and a day with most of the rows is split over tasks.
     """
-    required = rows.where(F.col("predicted_category").isNotNull() & F.col("text").isNotNull())
     if many_days:
-        required = required.hint("rebalance", "date")
-    required.write.mode("append").partitionBy("date").parquet(path)
+        rows = rows.hint("rebalance", "date")
+    rows.write.mode("append").partitionBy("date").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -129,6 +129,11 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).parquet(path)
 
 
+def _required(column: Column, name: str) -> Column:
+    # Not a filter: that would be pushed below the model and run it twice.
+    return F.coalesce(column, F.raise_error(F.lit(f"a log row has no {name}")))
+
+
 def utc_date(timestamp: str):
     """The UTC day of an instant, whatever the session time zone."""
     return F.to_date(F.to_utc_timestamp(timestamp, F.current_timezone()))

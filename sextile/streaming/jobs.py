@@ -41,8 +41,7 @@ def stream_scores(
     """Score every text that arrives and append it to the log, each row exactly once."""
     rows = scored_log_rows(model, stream, id_col, text_col, version, timestamp_col)
     writer = (
-        rows.where(F.col("predicted_category").isNotNull())
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .outputMode("append")
         .partitionBy("date")
         .option("path", log_path)
