@@ -25,6 +25,18 @@ def joined_text(*parts: Column | str) -> Column:
     return strip(F.lower(reduce(lambda left, right: F.concat(left, F.lit(" "), right), filled)))
 
 
+def has_text(*parts: Column | str) -> Column:
+    """Whether `joined_text` of the parts has any length.
+
+    Asked of the parts one after the other, mostly the first settles it. A filter on the joined
+    text itself would be pushed below it and build every text twice.
+    """
+    return reduce(
+        lambda left, right: left | right,
+        [F.coalesce(F.length(strip(part)) > 0, F.lit(False)) for part in parts],
+    )
+
+
 def is_blank(text: Column | str) -> Column:
     return F.length(strip(text)) == 0
 

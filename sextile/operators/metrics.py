@@ -30,18 +30,24 @@ def accuracy(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def class_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support of every label that is true or predicted somewhere.
+def label_figures(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Hits, precision, recall, F1 and support of every label that is true or predicted somewhere.
 
     Each count is booked once under its true and once under its predicted label, so the union of
     labels needs neither a join nor a second pass. Undefined figures are 0.
     """
     none = F.lit(0).cast("long")
-    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(none)
-    booked = F.array(
-        F.struct(F.col("y_true").alias("label"), hit.alias("tp"), F.col("n").alias("support"), none.alias("predicted")),
-        F.struct(F.col("y_pred").alias("label"), none.alias("tp"), none.alias("support"), F.col("n").alias("predicted")),
-    )
+    n, hit = F.col("n"), F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(none)
+
+    def entry(label: str, tp: Column, support: Column, predicted: Column) -> Column:
+        return F.struct(
+            F.col(label).alias("label"),
+            tp.alias("tp"),
+            support.alias("support"),
+            predicted.alias("predicted"),
+        )
+
+    booked = F.array(entry("y_true", hit, n, none), entry("y_pred", none, none, n))
     sums = (
         counts.select(*by, F.explode(booked).alias("_b"))
         .groupBy(*by, F.col("_b.label").alias("label"))
@@ -51,6 +57,7 @@ def class_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sums.select(
         *by,
         "label",
+        "tp",
         _or_zero(tp, predicted).alias("precision"),
         _or_zero(tp, support).alias("recall"),
         _or_zero(2 * tp, support + predicted).alias("f1_score"),
@@ -58,13 +65,25 @@ def class_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def class_report(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return label_figures(counts, by).drop("tp")
+
+
 def weighted_metrics(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Support-weighted means over all labels, also those outside the category list."""
-    return report.groupBy(*by).agg(
-        *[
-            ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m)
-            for m in ("precision", "recall", "f1_score")
-        ]
+    return report.groupBy(*by).agg(*_support_means())
+
+
+def run_metrics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, weighted means and number of rows together, in one pass over the counts."""
+    return (
+        label_figures(counts, by)
+        .groupBy(*by)
+        .agg(
+            ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
+            *_support_means(),
+            F.coalesce(F.sum("support"), F.lit(0)).alias("n_rows"),
+        )
     )
 
 
@@ -125,6 +144,13 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part.cast("double") / whole)
 
 
+def _support_means() -> list[Column]:
+    return [
+        ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m)
+        for m in ("precision", "recall", "f1_score")
+    ]
+
+
 def _or_zero(part: Column, whole: Column) -> Column:
     return F.coalesce(ratio(part, whole), F.lit(0.0))
 

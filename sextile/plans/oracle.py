@@ -225,6 +225,11 @@ ALL: dict[str, str] = {
         """SELECT text, predicted_category, round(confidence, 6) AS confidence, timestamp
            FROM prediction_log ORDER BY timestamp DESC, id DESC LIMIT 20""",
     ),
+    "recent_logged": _with(
+        "prediction_log",
+        """SELECT text, predicted_category, round(confidence, 6) AS confidence, timestamp
+           FROM prediction_log ORDER BY timestamp DESC, id DESC LIMIT 20""",
+    ),
     "confidence_histogram": _with(
         "prediction_log",
         """SELECT CAST(b.bin AS INT) AS bin, round(CAST(b.bin AS DOUBLE) / 20, 6) AS bin_start,

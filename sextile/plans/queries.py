@@ -102,6 +102,16 @@ def recent_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table, ["confidence"])
 
 
+def recent_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest predictions of a stored log, whose day partitions bound what is read."""
+    log_path, _ = store.create_tables(spark, new_path(spark, "store"))
+    rows = store.log_rows(views.prediction_log(spark, sf_dir), "id", timestamp_col="timestamp")
+    store.append_predictions(rows, log_path, many_days=True)
+    recent = analytics.recent_predictions(store.read_log(spark, log_path))
+    utc = F.col("timestamp").cast("timestamp_ntz")
+    return rounded(recent.withColumn("timestamp", utc), ["confidence"])
+
+
 def confidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = analytics.confidence_histogram(views.prediction_log(spark, sf_dir))
     return rounded(table, ["bin_start", "bin_end"])
@@ -319,9 +329,8 @@ def run_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(
-        registry.model_history(views.model_runs(spark, sf_dir)), ["accuracy", "f1_score"]
-    )
+    runs = materialize(views.model_runs(spark, sf_dir), "runs")
+    return rounded(registry.model_history(runs), ["accuracy", "f1_score"])
 
 
 def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,14 +355,17 @@ def registry_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- model ------------------------------------------------------------------------------------
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(views.table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = small_model(spark, sf_dir).model
-    return scoring.score(model, views.table(spark, sf_dir, "conversations"))
+    return scoring.score(small_model(spark, sf_dir).model, turns(spark, sf_dir))
 
 
 def score_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = small_model(spark, sf_dir).model
-    scored = scoring.score(model, views.table(spark, sf_dir, "conversations"), probabilities=True)
+    scored = scoring.score(model, turns(spark, sf_dir), probabilities=True)
     return scoring.ranked_probabilities(scored, ["conv_id", "turn"])
 
 
@@ -452,6 +464,7 @@ ALL: dict[str, Query] = {
     "daily_category_trend": daily_category_trend,
     "log_summary": log_summary,
     "recent_predictions": recent_predictions,
+    "recent_logged": recent_logged,
     "confidence_histogram": confidence_histogram,
     "category_share": category_share,
     "predicted_distribution": predicted_distribution,

@@ -25,7 +25,7 @@ from ..functions.constants import (
     NUM_TREES,
     SEED,
 )
-from ..functions.text import joined_text
+from ..functions.text import has_text, joined_text
 from ..operators import features as f
 from ..operators import metrics
 from ..operators.split import stratified_split
@@ -79,9 +79,9 @@ def prepared_articles(
     text_col: str = "prepared_text",
 ) -> DataFrame:
     """Key, label and joined text of the articles that have any text."""
-    return articles.select(
-        F.col(id_col), F.col(label_col), joined_text(*text_cols).alias(text_col)
-    ).where(F.length(text_col) > 0)
+    return articles.where(has_text(*text_cols)).select(
+        id_col, label_col, joined_text(*text_cols).alias(text_col)
+    )
 
 
 def train(
@@ -189,15 +189,14 @@ def run_metadata(
 ) -> dict:
     """The record of a run, from its confusion counts on the test part."""
     report = metrics.class_report(counts)
-    overall = metrics.accuracy(counts).first()
-    means = metrics.weighted_metrics(report).first()
+    overall = metrics.run_metrics(counts).first()
     wide = metrics.confusion_wide(counts, categories).collect()
     return {
         "model_type": model_type,
         "accuracy": overall["accuracy"],
-        "f1_score": means["f1_score"] if means else None,
-        "precision": means["precision"] if means else None,
-        "recall": means["recall"] if means else None,
+        "f1_score": overall["f1_score"],
+        "precision": overall["precision"],
+        "recall": overall["recall"],
         "trained_date": (trained_date or datetime.now(timezone.utc)).isoformat(),
         "training_time": training_time,
         "n_samples": n_samples,

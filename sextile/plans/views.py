@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.metrics import accuracy, class_report, confusion_counts, weighted_metrics
+from ..operators.metrics import confusion_counts, run_metrics
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def labeled_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("article_id"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),
+        F.substring_index("text", "\n", 1).alias("headline"),
         F.when(line_end > 0, F.substr("text", line_end + 1)).alias("description"),
         F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("topic_tags"),
         category.alias("category"),
@@ -53,12 +53,9 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry with one run per source; the last inserted is not the last trained."""
-    by = ["source"]
-    counts = confusion_counts(eval_pairs(spark, sf_dir), by=by)
-    means = weighted_metrics(class_report(counts, by), by)
+    rows = run_metrics(confusion_counts(eval_pairs(spark, sf_dir), by=["source"]), ["source"])
     number = F.substr("source", F.lit(4)).cast("int")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (number * 7 % 20).cast("int"))
-    rows = accuracy(counts, by).join(means, by)
     return rows.select(
         number.cast("long").alias("id"),
         F.concat(F.lit("model_"), "source").alias("model_name"),

@@ -41,7 +41,7 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Deal the rows of a source with fewer splits than cores out to all of them.
 
     Meant for a frame that only reads and projects a source: one small file, or a multi-line CSV,
@@ -49,7 +49,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     as it is and nothing is shuffled. `key` must be unique, so that no task gets a hot share.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
