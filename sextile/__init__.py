@@ -1,6 +1,6 @@
 """Text classification and prediction analytics on Spark DataFrames."""
 
-from .plans.scoring import score, score_and_log
+from .plans.scoring import predict, score, score_and_log
 from .plans.training import ForestParams, TrainedModel, train
 
-__all__ = ["ForestParams", "TrainedModel", "score", "score_and_log", "train"]
+__all__ = ["ForestParams", "TrainedModel", "predict", "score", "score_and_log", "train"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_DF, MAX_FEATURES, MIN_DF
 from ..functions.text import bigrams
-from ..sources.shared import BROADCAST_ROWS, materialize
+from ..sources.shared import BROADCAST_ROWS, Scratch, materialize
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,7 @@ def term_counts(
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_features: int | None = MAX_FEATURES,
+    save: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> DataFrame:
     """Counts of all words and pairs that can be among the `max_features` most frequent.
 
@@ -68,12 +70,13 @@ def term_counts(
     occur at least t times, a pair with a rarer word cannot enter the vocabulary, so only pairs
     of frequent words are shuffled: the number of distinct pairs, which has no useful bound,
     falls to the square of a small word list. With `max_features=None` nothing is left out.
+    The word counts are read several times, so `save` writes them once.
     """
     admissible = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs))
     words = count_terms(occurrences(docs, tokens))
     pairs = occurrences(docs, bigrams(tokens))
     if max_features is not None:
-        words = materialize(words, "words")
+        words = save(words, "word-counts")
         top = words.where(admissible).select("tf").orderBy(F.desc("tf")).limit(max_features)
         found, least = top.agg(F.count(F.lit(1)), F.min("tf")).first()
         if found == max_features:
@@ -95,8 +98,9 @@ def build_vocabulary(
     max_features: int = MAX_FEATURES,
 ) -> Vocabulary:
     """Bring the vocabulary, whose length has a bound, to the driver for the feature stages."""
-    counts = term_counts(docs, tokens, n_docs, min_df, max_df, max_features)
-    rows = sorted(top_terms(counts, max_features).collect())
+    with Scratch(docs.sparkSession) as scratch:
+        counts = term_counts(docs, tokens, n_docs, min_df, max_df, max_features, scratch.table)
+        rows = sorted(top_terms(counts, max_features).collect())
     if not rows:
         raise ValueError("no term is left: the texts are empty or hold only stop words")
     terms, tf, df = (list(column) for column in zip(*rows))

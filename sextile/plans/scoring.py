@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import TEXT_COLUMN
@@ -57,6 +57,20 @@ def score(
     return model.transform(source).select(*kept, *columns)
 
 
+def predict(spark: SparkSession, model: PipelineModel, text: str) -> dict:
+    """One text, for a look at a model: category, confidence and the probability of each class.
+
+    It is a job like any other; many texts belong into one frame and one call of `score`.
+    """
+    one = spark.createDataFrame([(text,)], f"{TEXT_COLUMN} string")
+    row = score(model, one, probabilities=True, on_null="fail").first()
+    return {
+        "category": row["predicted_category"],
+        "confidence": row["confidence"],
+        "probabilities": row["probabilities"],
+    }
+
+
 def ranked_probabilities(scored: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """One row per text and class, the most probable first; equal ones by class name."""
     pairs = F.transform(

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from ..operators import metrics
 from ..operators.split import stratified_split
 from ..operators.vocabulary import build_vocabulary
 from ..sources.csv import require_columns
-from ..sources.shared import materialize
+from ..sources.shared import Scratch
 
 MODEL_TYPE = "Random Forest"
 FRAMEWORK = "Spark ML"
@@ -46,8 +46,8 @@ class ForestParams:
     shuffled, which every partition adds up for every node: no more partitions than cores.
     `max_bins` bounds the candidate thresholds of a term; term weights are mostly zero, and on
     the largest given table 16 bins were as accurate as 32 in two thirds of the time.
-    `max_memory_mb` bounds the statistics of the tree nodes that one pass over the rows splits
-    together: more memory, fewer passes.
+    `max_memory_mb` bounds, per task, the statistics of the tree nodes that one pass over the
+    rows splits together: more memory, fewer passes.
     """
 
     num_trees: int = NUM_TREES
@@ -61,7 +61,7 @@ class ForestParams:
     test_percent: int = 20
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS
     fit_partitions: int | None = None
-    max_memory_mb: int = 1024
+    max_memory_mb: int = 256
 
 
 @dataclass(frozen=True)
@@ -96,70 +96,39 @@ def train(
     """Split, fit and evaluate.
 
     `articles` needs a unique key that is the same at every read (see `sources.csv.land`). Their
-    texts are read once: the words of each are written to the shared folder, and the split, the
-    vocabulary, the vectors and the test all start from that table. What reaches the driver has a
-    bound: classes, vocabulary, model and the small count tables.
+    texts are read once: the words of each are written to the shared folder for the length of the
+    job, and the split, the vocabulary, the vectors and the test all start from that table. What
+    reaches the driver has a bound: classes, vocabulary, model and the small count tables.
     """
     started = time.monotonic()
     require_columns(articles, [id_col, *text_cols, label_col])
     progress("preparing data")
-    prepared = prepared_articles(articles, id_col, text_cols, label_col, f.TEXT)
-    words = f.token_stage(params.stop_words).transform(prepared)
-    words = materialize(words.select(id_col, label_col, f.TOKENS), "words")
-    split = stratified_split(words, id_col, label_col, params.test_percent, params.seed)
-    train_words = split.rows.where("split = 'train'")
-    test_words = split.rows.where("split = 'test'")
-    progress(f"split: {split.n_train} train, {split.n_test} test")
-
-    progress("building the vocabulary")
-    vocabulary = build_vocabulary(
-        train_words, f.TOKENS, split.n_train, params.min_df, params.max_df, params.max_features
-    )
-    vectorize = PipelineModel(f.vector_stages(vocabulary))
-    indexer = f.label_indexer(split.classes, label_col)
-    vectors = indexer.transform(vectorize.transform(train_words)).select(
-        id_col, f.LABEL_INDEX, f.FEATURES
-    )
-    spark = articles.sparkSession
-    partitions = params.fit_partitions or spark.sparkContext.defaultParallelism
-    # Vectors are small beside the texts, so this shuffle is cheap; it makes the fit repeatable.
-    placed = vectors.repartition(partitions, id_col).sortWithinPartitions(id_col)
-    placed = placed.select(f.LABEL_INDEX, f.FEATURES).persist()
-
-    progress("training the forest")
-    try:
-        forest = RandomForestClassifier(
-            labelCol=f.LABEL_INDEX,
-            featuresCol=f.FEATURES,
-            predictionCol=f.INDEX,
-            probabilityCol=f.PROBABILITY,
-            rawPredictionCol=f.RAW,
-            numTrees=params.num_trees,
-            maxDepth=params.max_depth,
-            minInstancesPerNode=params.min_leaf,
-            maxBins=params.max_bins,
-            featureSubsetStrategy="sqrt",
-            impurity="gini",
-            seed=params.seed,
-            maxMemoryInMB=params.max_memory_mb,
-            # Deep trees: rows remember their node instead of walking down from the root at every
-            # level. The list of nodes is checkpointed, so its lineage stays short.
-            cacheNodeIds=True,
-            checkpointInterval=10,
-        ).fit(placed)
-    finally:
-        placed.unpersist()
-    to_label = IndexToString(inputCol=f.INDEX, outputCol=f.PREDICTED, labels=split.classes)
-    model = PipelineModel(
-        [f.token_stage(params.stop_words), *f.vector_stages(vocabulary), forest, to_label]
-    )
-
-    progress("evaluating")
-    fitted = PipelineModel([*f.vector_stages(vocabulary), forest, to_label])
-    pairs = fitted.transform(test_words).select(
-        F.col(label_col).alias("y_true"), F.col(f.PREDICTED).alias("y_pred")
-    )
-    counts = local_counts(pairs)
+    with Scratch(articles.sparkSession) as scratch:
+        prepared = prepared_articles(articles, id_col, text_cols, label_col, f.TEXT)
+        words = f.token_stage(params.stop_words).transform(prepared)
+        words = scratch.table(words.select(id_col, label_col, f.TOKENS), "words")
+        split = stratified_split(words, id_col, label_col, params.test_percent, params.seed)
+        train_words = split.rows.where("split = 'train'")
+        test_words = split.rows.where("split = 'test'")
+        progress(f"split: {split.n_train} train, {split.n_test} test")
+
+        progress("building the vocabulary")
+        vocabulary = build_vocabulary(
+            train_words, f.TOKENS, split.n_train, params.min_df, params.max_df, params.max_features
+        )
+        progress("training the forest")
+        to_vectors = f.vector_stages(vocabulary)
+        labelled = f.label_indexer(split.classes, label_col).transform(train_words)
+        forest = fit_forest(PipelineModel(to_vectors).transform(labelled), id_col, params)
+        to_label = IndexToString(inputCol=f.INDEX, outputCol=f.PREDICTED, labels=split.classes)
+        model = PipelineModel([f.token_stage(params.stop_words), *to_vectors, forest, to_label])
+
+        progress("evaluating")
+        from_words = PipelineModel([*to_vectors, forest, to_label])
+        pairs = from_words.transform(test_words).select(
+            F.col(label_col).alias("y_true"), F.col(f.PREDICTED).alias("y_pred")
+        )
+        counts = local_counts(pairs)
     metadata = run_metadata(
         counts,
         n_samples=split.n_samples,
@@ -171,6 +140,47 @@ def train(
     return TrainedModel(model, metadata, counts)
 
 
+def fit_forest(
+    vectors: DataFrame, id_col: str, params: ForestParams
+) -> RandomForestClassificationModel:
+    """Fit on rows that lie in the same places at every run.
+
+    Vectors are small beside the texts, so the shuffle by key is cheap, and it evens out tasks.
+    The vectors are kept for the several passes of the fit.
+    """
+    partitions = params.fit_partitions or vectors.sparkSession.sparkContext.defaultParallelism
+    placed = (
+        vectors.select(id_col, f.LABEL_INDEX, f.FEATURES)
+        .repartition(partitions, id_col)
+        .sortWithinPartitions(id_col)
+        .select(f.LABEL_INDEX, f.FEATURES)
+        .persist()
+    )
+    forest = RandomForestClassifier(
+        labelCol=f.LABEL_INDEX,
+        featuresCol=f.FEATURES,
+        predictionCol=f.INDEX,
+        probabilityCol=f.PROBABILITY,
+        rawPredictionCol=f.RAW,
+        numTrees=params.num_trees,
+        maxDepth=params.max_depth,
+        minInstancesPerNode=params.min_leaf,
+        maxBins=params.max_bins,
+        featureSubsetStrategy="sqrt",
+        impurity="gini",
+        seed=params.seed,
+        maxMemoryInMB=params.max_memory_mb,
+        # Deep trees: rows remember their node instead of walking down from the root at every
+        # level. The list of nodes is checkpointed, so its lineage stays short.
+        cacheNodeIds=True,
+        checkpointInterval=10,
+    )
+    try:
+        return forest.fit(placed)
+    finally:
+        placed.unpersist()
+
+
 def local_counts(pairs: DataFrame) -> DataFrame:
     """Confusion counts, computed once: at most one row per pair of the model's classes."""
     counts = metrics.confusion_counts(pairs)

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A side of a join is broadcast only if it was counted and is no longer than this.
 BROADCAST_ROWS = 200_000
@@ -28,17 +27,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back.
 
     Unlike a cached frame the table survives the loss of executors, and unlike an RDD checkpoint
-    it keeps column pruning, filter pushdown and size statistics.
+    it keeps column pruning, filter pushdown and size statistics. It stays until the folder is
+    cleared, as the frames read from it are lazy; `Scratch` is for jobs that end.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables that are dropped when the job that wrote them is over."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self._spark, name)
+        self._paths.append(path)
+        return _written(df, path)
+
+    def __exit__(self, *error) -> None:
+        hadoop = self._spark._jvm.org.apache.hadoop.fs
+        for path in self._paths:
+            folder = hadoop.Path(path)
+            files = folder.getFileSystem(self._spark._jsc.hadoopConfiguration())
+            files.delete(folder, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -50,11 +73,3 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a longer side is left to the planner.
-
-    Pass a frame that is cheap to read twice, such as a materialised one.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

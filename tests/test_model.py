@@ -1,12 +1,15 @@
 """Training, storing and scoring."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from sextile import ForestParams, score, score_and_log, train
+from sextile import ForestParams, predict, score, score_and_log, train
 from sextile.operators import analytics
 from sextile.plans import queries, scoring
 from sextile.sources import bundle, store
+from sextile.sources.shared import shared_dir
 
 SF = "/root/testdata/sf0.001"
 TINY = ForestParams(num_trees=5, max_depth=4, max_features=200)
@@ -81,6 +84,22 @@ def test_score_replaces_old_results_and_reads_other_columns(spark, trained):
     assert scored.first().predicted_category == "Political"
 
 
+def test_predict_one_text(spark, trained):
+    got = predict(spark, trained.model, "Senate VOTE tag")
+    assert got["category"] == "Political"
+    assert got["confidence"] == max(got["probabilities"].values())
+    assert sum(got["probabilities"].values()) == pytest.approx(1)
+    with pytest.raises(Exception, match="null"):
+        predict(spark, trained.model, None)
+
+
+def test_training_leaves_no_tables_behind(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    train(articles(spark), "id", params=TINY)
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert not [name for name in left if name.startswith("word")]
+
+
 def test_ranked(spark, trained):
     texts = spark.createDataFrame([(1, "senate vote tag"), (2, None)], "k long, text string")
     scored = score(trained.model, texts, probabilities=True)

@@ -39,7 +39,6 @@ def test_no_python_udf_and_no_cross_join(spark):
 
 
 def test_columns_are_pruned(spark):
+    """Counting labels does not read the texts."""
     plan = entry.queries()["label_distribution"](spark, SF)._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<lang:string,n_chars:bigint>" in plan.replace("\n", " ") or (
-        "text" not in plan.split("== Physical Plan ==")[1]
-    )
+    assert "ReadSchema: struct<lang:string,n_chars:bigint>" in plan
