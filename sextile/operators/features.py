@@ -13,11 +13,12 @@ from pyspark.ml.feature import (
     StringIndexerModel,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ENGLISH_STOP_WORDS
 from ..functions.text import terms_sql, tokens_sql
+from ..sources.shared import BROADCAST_ROWS
 from .vocabulary import Vocabulary
 
 # Names of the working columns inside a pipeline; results never carry them.
@@ -79,13 +80,15 @@ def tfidf_vectors(
 
 def tfidf_entries(vectors: DataFrame, vocabulary: Vocabulary, id_col: str) -> DataFrame:
     """The non-zero entries of sparse feature vectors: one row per document and term."""
+    spark = vectors.sparkSession
+    names = spark.createDataFrame(list(enumerate(vocabulary.terms)), "_index int, term string")
+    if len(vocabulary.terms) <= BROADCAST_ROWS:
+        names = F.broadcast(names)
     sparse = F.unwrap_udt("features")
-    entry = F.explode(F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("w")))
-    return vectors.select(id_col, entry.alias("_e")).select(
-        id_col, _term_at(vocabulary, F.col("_e.i")).alias("term"), F.col("_e.w").alias("weight")
+    entry = F.arrays_zip(sparse["indices"].alias("_index"), sparse["values"].alias("weight"))
+    return (
+        vectors.select(id_col, F.explode(entry).alias("_e"))
+        .select(id_col, "_e._index", "_e.weight")
+        .join(names, "_index")
+        .select(id_col, "term", "weight")
     )
-
-
-def _term_at(vocabulary: Vocabulary, index: Column) -> Column:
-    """Look a term up in the vocabulary, which is short enough to travel with the plan."""
-    return F.get(F.lit(vocabulary.terms), index)

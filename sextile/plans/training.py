@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
@@ -42,8 +42,8 @@ class ForestParams:
     """Settings of features and forest.
 
     `fit_partitions` fixes the placement of rows, on which the forest depends as it does on the
-    seed; by default it is the session's parallelism. It also scales the statistics that are
-    shuffled, which every partition adds up for every node: no more partitions than cores.
+    seed. Every partition adds up statistics for every node and these are shuffled, so the default
+    is as few as keep all cores busy and hold a partition's binned rows, 4 bytes per term, in 1 GB.
     `max_bins` bounds the candidate thresholds of a term; term weights are mostly zero, and on
     the largest given table 16 bins were as accurate as 32 in two thirds of the time.
     `max_memory_mb` bounds, per task, the statistics of the tree nodes that one pass over the
@@ -119,7 +119,11 @@ def train(
         progress("training the forest")
         to_vectors = f.vector_stages(vocabulary)
         labelled = f.label_indexer(split.classes, label_col).transform(train_words)
-        forest = fit_forest(PipelineModel(to_vectors).transform(labelled), id_col, params)
+        vectors = PipelineModel(to_vectors).transform(labelled)
+        partitions = params.fit_partitions or fit_partitions(
+            articles.sparkSession, split.n_train, len(vocabulary.terms)
+        )
+        forest = fit_forest(vectors, id_col, params, partitions)
         to_label = IndexToString(inputCol=f.INDEX, outputCol=f.PREDICTED, labels=split.classes)
         model = PipelineModel([f.token_stage(params.stop_words), *to_vectors, forest, to_label])
 
@@ -140,15 +144,19 @@ def train(
     return TrainedModel(model, metadata, counts)
 
 
+def fit_partitions(spark: SparkSession, n_rows: int, n_terms: int) -> int:
+    """Partitions for the fit: one per core, more once a partition would be over 1 GB."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows * n_terms * 4 // 2**30))
+
+
 def fit_forest(
-    vectors: DataFrame, id_col: str, params: ForestParams
+    vectors: DataFrame, id_col: str, params: ForestParams, partitions: int
 ) -> RandomForestClassificationModel:
     """Fit on rows that lie in the same places at every run.
 
     Vectors are small beside the texts, so the shuffle by key is cheap, and it evens out tasks.
     The vectors are kept for the several passes of the fit.
     """
-    partitions = params.fit_partitions or vectors.sparkSession.sparkContext.defaultParallelism
     placed = (
         vectors.select(id_col, f.LABEL_INDEX, f.FEATURES)
         .repartition(partitions, id_col)

@@ -1,7 +1,8 @@
 """Scoring and daily figures as Structured Streaming queries.
 
 Each job takes a streaming frame and starts a query that is restarted from its checkpoint. With
-`available_now` it works off what is there and ends.
+`available_now` it works off what is there and ends; otherwise it goes on, with one micro-batch
+`every` so often ("5 minutes"), and longer pauses make fewer and larger files.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ def stream_scores(
     version: str | None = None,
     timestamp_col: str | None = None,
     available_now: bool = False,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Score every text that arrives and append it to the log, each row exactly once."""
     rows = scored_log_rows(model, stream, id_col, text_col, version, timestamp_col)
@@ -47,7 +49,7 @@ def stream_scores(
         .option("path", log_path)
         .option("checkpointLocation", checkpoint)
     )
-    return _start(writer, available_now)
+    return _start(writer, available_now, every)
 
 
 def daily_figures(stream: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -72,6 +74,7 @@ def stream_daily_stats(
     checkpoint: str,
     delay: str = "2 days",
     available_now: bool = False,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Keep the daily figures of a streamed log up to date.
 
@@ -88,7 +91,7 @@ def stream_daily_stats(
         .foreachBatch(write_changes)
         .option("checkpointLocation", checkpoint)
     )
-    return _start(writer, available_now)
+    return _start(writer, available_now, every)
 
 
 def read_daily_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +107,9 @@ def read_daily_stats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _start(writer: DataStreamWriter, available_now: bool) -> StreamingQuery:
+def _start(writer: DataStreamWriter, available_now: bool, every: str | None) -> StreamingQuery:
     if available_now:
         writer = writer.trigger(availableNow=True)
+    elif every:
+        writer = writer.trigger(processingTime=every)
     return writer.start()

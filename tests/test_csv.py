@@ -85,7 +85,7 @@ def test_shape_and_preview(spark):
 def test_spread(spark):
     one = spark.range(100, numPartitions=1)
     assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100, numPartitions=20)
+    many = spark.range(100, numPartitions=3)
     assert spread(many, "id") is many
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextile import ForestParams, predict, score, score_and_log, train
 from sextile.operators import analytics
-from sextile.plans import queries, scoring
+from sextile.plans import queries, scoring, training
 from sextile.sources import bundle, store
 from sextile.sources.shared import shared_dir
 
@@ -132,6 +132,12 @@ def test_input_is_left_alone_and_checked(spark):
         train(frame.withColumn("PESTLE_Category", alone), "id", params=TINY)
 
 
+def test_partitions_of_the_fit(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert training.fit_partitions(spark, 8000, 5000) == cores
+    assert training.fit_partitions(spark, 10**9, 5000) == -(-2 * 10**13 // 2**30)
+
+
 def test_progress(spark):
     said = []
     train(articles(spark), "id", params=TINY, progress=said.append)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_text import python_terms, python_tokens
 
 from sextile.functions.text import tokens
+from sextile.operators import features
 from sextile.operators import vocabulary as module
 from sextile.operators.features import tfidf_entries, tfidf_vectors
 from sextile.operators.vocabulary import build_vocabulary, count_terms, occurrences, term_counts
@@ -73,7 +74,9 @@ def test_no_terms(spark):
         build_vocabulary(documents(spark, ["the", "and"]), "words", 2)
 
 
-def test_weights(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_weights(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(features, "BROADCAST_ROWS", broadcast_rows)
     texts = corpus()
     docs = documents(spark, texts)
     vocabulary = build_vocabulary(docs, "words", len(texts), max_features=30)
