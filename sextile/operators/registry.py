@@ -13,6 +13,12 @@ def with_active(registry: DataFrame) -> DataFrame:
     return registry.withColumn("is_active", order == last)
 
 
+def register_views(log: DataFrame, registry: DataFrame) -> None:
+    """Both tables under their SQL names, for `spark.sql`."""
+    log.createOrReplaceTempView("predictions")
+    with_active(registry).createOrReplaceTempView("model_metadata")
+
+
 def model_history(registry: DataFrame) -> DataFrame:
     """Runs by training date, newest first."""
     return (

@@ -154,3 +154,26 @@ def test_registry(spark, folder):
     assert tuple(registry.registry_summary(stored).first()) == (2, 0.9)
     series = registry.metric_series(stored)
     assert series.columns == ["id", "trained_date", "metric", "value"] and series.count() == 4
+
+
+def test_sql_over_both_tables(spark, folder):
+    log_path, path = store.create_tables(spark, folder)
+    store.append_predictions(
+        store.log_rows(log(spark), "id", timestamp_col="timestamp"), log_path, many_days=True
+    )
+    store.append_model(spark, path, metadata(0.9, datetime(2024, 5, 1, tzinfo=timezone.utc)))
+    registry.register_views(store.read_log(spark, log_path), store.read_registry(spark, path))
+    stats = spark.sql(
+        """SELECT predicted_category, COUNT(*) AS count, AVG(confidence) AS avg_confidence,
+                  DATE(timestamp) AS date
+           FROM predictions GROUP BY predicted_category, DATE(timestamp)
+           ORDER BY MAX(timestamp) DESC, predicted_category"""
+    )
+    expected = a.prediction_stats(a.daily_rollup(log(spark)))
+    assert [(r[0], r[1], str(r[3])) for r in stats.collect()] == [
+        (r[0], r[1], str(r[3])) for r in expected.collect()
+    ]
+    latest = spark.sql("SELECT text FROM predictions ORDER BY timestamp DESC, id DESC LIMIT 20")
+    assert [r.text for r in latest.collect()][:2] == ["v", "u"]
+    active = spark.sql("SELECT model_name, accuracy FROM model_metadata WHERE is_active")
+    assert [tuple(r) for r in active.collect()] == [("Random Forest", 0.9)]
