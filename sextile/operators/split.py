@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,12 @@ from pyspark.sql import types as T
 from ..functions.constants import SEED
 from ..sources.shared import BROADCAST_ROWS
 
-# Leading hex digits of the hash that name a bucket, 65,536 buckets a class.
-BUCKET_DIGITS = 4
+# Lengths of the hash prefixes, in hex digits, by which the cut of a class is found.
+# The first keeps the counts of a map task to 256 rows a class; the last leaves one row in a million.
+PREFIX_LENGTHS = (2, 5)
+
+# So many rows of a class can be ranked by one task without ado.
+RANKED_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -76,46 +81,38 @@ def stratified_split(
     """Assign every row to 'train' or 'test', with exact quotas per class.
 
     A row's place is its rank by md5(seed|id) within its class. Ranking a class would put a third
-    of all rows into one sort, so only the cut of each class is looked for: counts per hash bucket
-    give the bucket where the quota is reached, and only that bucket's rows (1 of 65,536) are
-    ranked. The final pass compares each row with its class's cut and shuffles nothing. `id_col`
-    must be unique and, like the label, the same at every read.
+    of all rows into one sort, so only the cut of each class is looked for. Counts per hash prefix
+    give the prefix at which the quota is reached; where it has many rows, the same again with
+    longer prefixes among those rows only; and the rows that share the last prefix are ranked.
+    Every count is combined on the map side. The final pass compares each row with its class's cut and shuffles
+    nothing. `id_col` must be unique and, like the label, the same at every read.
     """
     spark = df.sparkSession
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    bucket = F.substring(key, 1, BUCKET_DIGITS)
-    histogram = df.groupBy(F.col(label_col).alias("_label"), bucket.alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("_n")
+    keys = df.select(
+        F.col(label_col).alias("_label"), key.alias("_key"), F.col(id_col).alias("_id")
     )
-    up_to = Window.partitionBy("_label").orderBy("_bucket")
-    running = histogram.select("*", F.sum("_n").over(up_to).alias("_running")).persist()
+    first, *longer = PREFIX_LENGTHS
+    histogram = _prefix_counts(keys, first).persist()
     try:
         # The list of classes is part of the model and lives on the driver in any case.
-        class_counts = {
-            row["_label"]: row["_n"]
-            for row in running.groupBy("_label").agg(F.max("_running").alias("_n")).collect()
-        }
+        totals = histogram.groupBy("_label").agg(F.sum("_n").alias("_n"))
+        class_counts = {row["_label"]: row["_n"] for row in totals.collect()}
         check_classes(class_counts, test_percent)
         quotas = train_quotas(class_counts, test_percent)
-        edges = (
-            running.join(_per_class(spark, quotas.items(), "_quota long"), "_label")
-            .where("_running >= _quota AND _running - _n < _quota")
-            .select("_label", "_bucket", (F.expr("_quota - _running + _n")).alias("_left"))
-            .collect()
-        )
+        edges = _edges(histogram, _per_class(spark, quotas.items(), "_quota long"))
     finally:
-        running.unpersist()
-
-    edge = _per_class(spark, [tuple(e) for e in edges], "_bucket string, _left long")
-    within = Window.partitionBy("_label", "_bucket").orderBy("_key", "_id")
+        histogram.unpersist()
+    for length in longer:
+        if all(edge.n <= RANKED_ROWS for edge in edges):
+            break
+        inside = _at_edge(keys, edges)
+        wanted = [(edge.label, edge.left) for edge in edges]
+        edges = _edges(_prefix_counts(inside, length), _per_class(spark, wanted, "_quota long"))
+
+    within = Window.partitionBy("_label").orderBy("_key", "_id")
     cuts = (
-        df.select(
-            F.col(label_col).alias("_label"),
-            bucket.alias("_bucket"),
-            key.alias("_key"),
-            F.col(id_col).alias("_id"),
-        )
-        .join(edge, ["_label", "_bucket"])
+        _at_edge(keys, edges)
         .withColumn("_rank", F.row_number().over(within))
         .where("_rank = _left")
         .select("_label", "_key", "_id")
@@ -134,6 +131,35 @@ def stratified_split(
     return Split(rows, class_counts, quotas)
 
 
+def _prefix_counts(keys: DataFrame, length: int) -> DataFrame:
+    return keys.groupBy("_label", F.substring("_key", 1, length).alias("_prefix")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+
+
+class _Edge(NamedTuple):
+    """The prefix in which a class reaches its quota, how many of its rows are within, and all."""
+
+    label: str
+    prefix: str
+    left: int
+    n: int
+
+
+def _edges(counts: DataFrame, quotas: DataFrame) -> list[_Edge]:
+    up_to = Window.partitionBy("_label").orderBy("_prefix")
+    running = counts.select("*", F.sum("_n").over(up_to).alias("_running"))
+    reached = running.join(quotas, "_label").where("_running >= _quota AND _running - _n < _quota")
+    left = F.expr("_quota - _running + _n").alias("_left")
+    return [_Edge(*row) for row in reached.select("_label", "_prefix", left, "_n").collect()]
+
+
+def _at_edge(keys: DataFrame, edges: list[_Edge]) -> DataFrame:
+    """The rows of each class whose hash starts with the class's edge."""
+    edge = _per_class(keys.sparkSession, edges, "_prefix string, _left long, _n long")
+    return keys.join(edge, "_label").where(F.startswith("_key", "_prefix"))
+
+
 def split_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 

@@ -37,10 +37,12 @@ def by_hand(rows, seed=42):
     return parts
 
 
-@pytest.mark.parametrize("digits", [1, 4])
-def test_split_is_exact(spark, monkeypatch, digits):
-    # One class holds most rows; with one hex digit the buckets at the cuts hold many rows each.
-    monkeypatch.setattr(module, "BUCKET_DIGITS", digits)
+@pytest.mark.parametrize("ranked", [0, 10, 100_000])
+@pytest.mark.parametrize("lengths", [(1,), (2, 5), (1, 2, 3, 32)])
+def test_split_is_exact(spark, monkeypatch, lengths, ranked):
+    # One class holds most rows; with one hex digit many rows are left to be ranked.
+    monkeypatch.setattr(module, "PREFIX_LENGTHS", lengths)
+    monkeypatch.setattr(module, "RANKED_ROWS", ranked)
     rows = [(i, "big" if i % 3 else "mid" if i % 2 else "small") for i in range(3000)]
     frame = spark.createDataFrame(rows, "id long, label string").repartition(7)
     result = stratified_split(frame, "id", "label")
