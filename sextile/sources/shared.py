@@ -70,12 +70,12 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Deal the rows of a source with very few splits out to all cores.
+    """Deal the rows of a source with fewer splits than cores out to all of them.
 
-    Meant for a frame that only reads and projects a source: one small file, or a multi-line CSV,
-    is one task otherwise. The shuffle must pay: a source whose splits keep a quarter of the cores
-    busy, which is the rule at scale, is returned as it is. `key` must be unique, so that no task
-    gets a hot share.
+    Meant for a frame that only reads and projects a source: one small file, a file of one row
+    group or a multi-line CSV is one task otherwise. Fewer splits than cores also means that a
+    core gets no more than a split by the shuffle. A source with enough splits, which is the rule
+    at scale, is returned as it is. `key` must be unique, so that no task gets a hot share.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if 4 * df.rdd.getNumPartitions() <= cores else df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
