@@ -53,8 +53,9 @@ def exact_groups(
     """One row per document: `doc_id`, `keep_id` and `group_size`.
 
     Texts are equal if they are identical once A to Z are lower-cased; null counts as empty, and
-    empty texts are equal to each other. The largest id of a group is kept. Ids must be unique.
-    Other columns of `docs`, whatever their names, are not read. No rows give no rows.
+    empty texts are equal to each other. The largest id of a group is kept. Repeated rows count once,
+    rows without an id are left out, and an id must not have unlike texts. Other columns of `docs`,
+    whatever their names, are not read. No rows give no rows.
 
     The first pass keeps length and prefix hash only. Lengths that occur once, then pairs of length
     and prefix hash that occur once, settle their documents. The whole text is hashed only for the
@@ -62,7 +63,7 @@ def exact_groups(
     """
     texts = _texts(docs, id_col, text_col)
     sizes = scratch.table(
-        texts.mapInArrow(_measured, "doc_id long, n_bytes long, prefix long"), "sizes"
+        texts.mapInArrow(_measured, "doc_id long, n_bytes long, prefix long").distinct(), "sizes"
     )
     same_length = sizes.groupBy("n_bytes").count().where("count > 1").drop("count")
     same_prefix = (
@@ -80,7 +81,7 @@ def exact_groups(
     left = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     hashed = left.mapInArrow(_digested, "doc_id long, sha256 binary")
     # Texts of unlike length have unlike hashes, so the last step can group by the hash alone.
-    full = scratch.table(hashed, "full")
+    full = scratch.table(hashed.distinct(), "full")
     groups = (
         full.groupBy("sha256")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -99,4 +100,5 @@ def exact_groups(
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.where("doc_id is not null")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
 from .components import components
-from .words import Words, sequences, slices
+from .words import Words, mix, sequences, slices
 
 # Ids are broadcast (8 bytes each) if they were counted and are no more than this.
 BROADCAST_ROWS = 500_000
@@ -95,15 +95,9 @@ def _keys(signatures: np.ndarray, params: NearParams) -> np.ndarray:
     bands = signatures.shape[1] // params.band
     parts = signatures[:, : bands * params.band].reshape(len(signatures), params.band, bands)
     column = np.arange(bands, dtype=np.uint64)[None, :] * np.ones((len(signatures), 1), np.uint64)
-    return sequences_of([column, *(parts[:, j].astype(np.uint64) for j in range(params.band))])
-
-
-def sequences_of(columns: list[np.ndarray]) -> np.ndarray:
-    from .words import mix
-
-    out = mix(columns[0] + np.uint64(1))
-    for column in columns[1:]:
-        out = mix(out ^ column)
+    out = mix(column + np.uint64(1))
+    for j in range(params.band):
+        out = mix(out ^ parts[:, j].astype(np.uint64))
     return out
 
 
@@ -196,7 +190,8 @@ def near_duplicates(
     Documents whose shingle sets are similar enough are linked; `component_id` is the smallest
     reachable id, the document's own if it has no link. A-Z count as a-z. Null texts and texts
     without words have an empty set and no links; texts shorter than a shingle have one shingle.
-    Ids must be unique; other columns are not read; no rows give no rows.
+    Repeated rows count once, rows without an id are left out, and an id must not have unlike texts;
+    other columns are not read; no rows give no rows.
 
     Documents with equal sets are one class from the start and only its smallest id goes on. Classes
     that share a band key form clusters. Every class's set is fetched once for its cluster, which is
@@ -204,13 +199,18 @@ def near_duplicates(
     that are not in the main part of their cluster also visit all other blocks of it. No pairs are
     shipped or kept, and none is left out.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
+        "doc_id is not null"
+    )
     schema = "doc_id long, n_shingles long, set_id binary, keys array<long>"
     signed = scratch.table(texts.mapInArrow(_signed_rows(params), schema), "signed")
     first = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     members = scratch.table(
         signed.join(first, "set_id").select(
-            "doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")
+            "doc_id",
+            "rep",
+            "n_shingles",
+            F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"),
         ),
         "members",
     )
@@ -222,9 +222,10 @@ def near_duplicates(
     clusters = components(stars.select(F.col("rep").alias("u"), "v").distinct(), scratch)
     links = _confirmed(texts, members, clusters, params, scratch)
     roots = components(links, scratch).select(F.col("node").alias("rep"), "root")
-    placed = members.select("doc_id", "rep").join(roots, "rep", "left")
+    placed = members.select("doc_id", "rep").distinct().join(roots, "rep", "left")
     return (
         signed.select("doc_id", "n_shingles")
+        .distinct()
         .join(placed, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
     )
@@ -233,7 +234,7 @@ def near_duplicates(
 def _confirmed(texts, members, clusters, params: NearParams, scratch: Scratch) -> DataFrame:
     """Links that join up whatever is linked within a cluster."""
     sized = members.where("keys is not null").select(F.col("doc_id").alias("node"), "n_shingles")
-    clustered = scratch.table(clusters.join(sized, "node"), "clustered")
+    clustered = scratch.table(clusters.join(sized.distinct(), "node"), "clustered")
     room = clustered.groupBy("root").agg(
         F.greatest(
             F.ceil(F.count("*") / params.block_rows),

@@ -184,13 +184,15 @@ def pack(
     Columns: `doc_id`, `start` (the document's ids before it), `length`, `ids_crc32`, `doc_tokens`,
     `ids` (unsigned little-endian 32-bit ids, null without `with_ids`), `sequence_id` and `offset`
     there. A document's ids end with `end_id`; a null or empty text has that one id. Documents longer
-    than a sequence are cut into full sequences and a rest. Ids of documents must be unique; other
-    columns are not read; no rows give no rows.
+    than a sequence are cut into full sequences and a rest. Repeated rows are packed each, rows
+    without an id are left out; other columns are not read; no rows give no rows.
 
     Only the histogram of lengths reaches the driver. Each class is ranked in windows of bounded
     size, whose offsets come from their counts, and a rank gives the sequence without a join.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
+        "doc_id is not null"
+    )
     schema = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )

@@ -59,8 +59,8 @@ def _fold(keys: list[np.ndarray], ids: np.ndarray, shards: int) -> tuple[list[np
         new[1:-1] = shard[1:] != shard[:-1]
         for k in keys:
             new[1:-1] |= k[1:] != k[:-1]
-    again = np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)] | new[:-1]
-    use = (new[:-1] | new[1:]) & again
+    least = ids[np.flatnonzero(new[:-1])][np.cumsum(new[:-1]) - 1] if len(ids) else ids
+    use = new[:-1] | (new[1:] & (ids != least))
     return [k[use] for k in keys], ids[use]
 
 
@@ -200,9 +200,10 @@ def _found(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _phrases(words, ids, hashes, at, known, p: RepeatParams):
+def _phrases(words: Words, hashes: np.ndarray, known: list[np.ndarray], p: RepeatParams):
     """First words of windows that are confirmed to recur, one for each phrase, and its owner."""
     h1, h2, owner = known
+    at = words.runs(p.window)
     one, two = _fingerprints(words, hashes, p.window, at)
     if not len(h1) or not len(one):
         return at[:0], owner[:0], one[:0]
@@ -223,9 +224,7 @@ def _kept_rows(p: RepeatParams):
         for batch in _unshipped(docs):
             words = Words(batch.column(1))
             hashes = words.hashes()
-            starts, owners, marks = _phrases(
-                words, None, hashes, words.runs(p.window), known, p
-            )
+            starts, owners, marks = _phrases(words, hashes, known, p)
             listed = [words.text(i).split() for i in range(batch.num_rows)]
             flat = [numbers.setdefault(w, len(numbers)) for ws in listed for w in ws]
             for start, owner, mark in zip(starts.tolist(), owners.tolist(), marks.tolist()):
@@ -239,9 +238,9 @@ def _kept_rows(p: RepeatParams):
             for phrase, owner in phrases[low : low + p.automaton_phrases]:
                 automaton.add_word(phrase, owner)
             automaton.make_automaton()
-            for ids, listed, flat in held:
+            for part, (ids, listed, flat) in enumerate(held):
                 at = 0
-                for doc_id, ws in zip(ids, listed):
+                for row, (doc_id, ws) in enumerate(zip(ids, listed)):
                     if len(ws) >= p.window:
                         ends = [
                             end
@@ -249,12 +248,12 @@ def _kept_rows(p: RepeatParams):
                             if owner < doc_id
                         ]
                         if ends:
-                            covered.setdefault(doc_id, []).extend(ends)
+                            covered.setdefault((part, row), []).extend(ends)
                     at += len(ws)
         rows = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "spans": []}
-        for ids, listed, _ in held:
-            for doc_id, ws in zip(ids, listed):
-                spans = _spans(covered.get(doc_id, ()), p.window)
+        for part, (ids, listed, _) in enumerate(held):
+            for row, (doc_id, ws) in enumerate(zip(ids, listed)):
+                spans = _spans(covered.get((part, row), ()), p.window)
                 kept, at = [], 0
                 for a, b in spans:
                     kept += ws[at:a]
@@ -318,8 +317,9 @@ def remove_repeats(
     A word goes if a window that covers it also starts in a document with a smaller id; windows are
     those of the input. `kept_text` (UTF-8 bytes) joins the other words by one space; with `digest`,
     `kept_sha256` stands in for it and for `spans` (word numbers, end exclusive). Null, empty and
-    short texts have no windows and keep all words; repeats within one document alone stay. Ids must
-    be unique; other columns are not read; no rows give no rows.
+    short texts have no windows and keep all words; repeats within one document alone stay. Repeated
+    rows are one document and give a row each; rows without an id are left out; other columns are
+    not read; no rows give no rows.
 
     1. Every window's anchor, a run of ANCHOR words chosen by its content, is counted by bucket.
     2. Documents go to shards by id, and each shard is told which of its anchors recur.
@@ -331,7 +331,9 @@ def remove_repeats(
     A phrase is told once to a shard, however often it occurs there, and a bucket has at most two
     rows of it for each shard and batch, so that hot phrases weigh little anywhere.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
+        "doc_id is not null"
+    )
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(64, -(-volume // params.shard_bytes))
     # About one anchor comes up every 25 bytes.
