@@ -51,10 +51,13 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
+    def path(self, name: str) -> str:
+        """A new path that is deleted with the tables."""
+        self._paths.append(new_path(self._spark, name))
+        return self._paths[-1]
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self._spark, name)
-        self._paths.append(path)
-        return _written(df, path)
+        return _written(df, self.path(name))
 
     def __exit__(self, *error) -> None:
         hadoop = self._spark._jvm.org.apache.hadoop.fs
