@@ -212,6 +212,27 @@ def _phrases(words: Words, hashes: np.ndarray, known: list[np.ndarray], p: Repea
     return at[sure], owner[slot[sure]], one[sure]
 
 
+# Letters of the automata: one alphabet for each place in a word's number, and one beyond them all.
+BASE = 64
+OTHER = "\x01"
+
+
+def _letters(words: set[bytes]) -> dict[bytes, str]:
+    """Words of phrases as short spellings of equal length.
+
+    The automaton searches the branches of a state one by one, so few letters to a place keep every
+    step short. Places have alphabets of their own, so that no match begins within a word.
+    """
+    width = 1
+    while BASE**width < len(words):
+        width += 1
+    out = {}
+    for number, word in enumerate(sorted(words)):
+        digits = ((number // BASE**i) % BASE for i in range(width))
+        out[word] = "".join([chr(0x100 + i * BASE + d) for i, d in enumerate(digits)])
+    return out
+
+
 def _kept_rows(p: RepeatParams):
     """What is left of each document of a shard."""
 
@@ -219,39 +240,40 @@ def _kept_rows(p: RepeatParams):
         known = [_flat(told, "c0"), _flat(told, "c1"), _flat(told, "c2", np.int64)]
         order = np.argsort(known[0], kind="stable")
         known = [k[order] for k in known]
-        numbers: dict[bytes, int] = {}
-        held, phrases, seen = [], [], set()
+        held, phrases = [], {}
         for batch in _unshipped(docs):
             words = Words(batch.column(1))
-            hashes = words.hashes()
-            starts, owners, marks = _phrases(words, hashes, known, p)
+            starts, owners, marks = _phrases(words, words.hashes(), known, p)
             listed = [words.text(i).split() for i in range(batch.num_rows)]
-            flat = [numbers.setdefault(w, len(numbers)) for ws in listed for w in ws]
-            for start, owner, mark in zip(starts.tolist(), owners.tolist(), marks.tolist()):
-                if mark not in seen:
-                    seen.add(mark)
-                    phrases.append((tuple(flat[start : start + p.window]), owner))
-            held.append((batch.column(0).to_pylist(), listed, flat))
+            # Of windows with the same fingerprint one is enough.
+            _, once = np.unique(marks, return_index=True)
+            flat = [w for ws in listed for w in ws]
+            for start, owner in zip(starts[once].tolist(), owners[once].tolist()):
+                phrases[tuple(flat[start : start + p.window])] = owner
+            held.append((batch.column(0).to_pylist(), listed))
+        letters = _letters({w for phrase in phrases for w in phrase})
         covered = {}
-        for low in range(0, len(phrases), p.automaton_phrases):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, owner in phrases[low : low + p.automaton_phrases]:
-                automaton.add_word(phrase, owner)
+        told_phrases = list(phrases.items())
+        for low in range(0, len(told_phrases), p.automaton_phrases):
+            automaton = ahocorasick.Automaton()
+            for phrase, owner in told_phrases[low : low + p.automaton_phrases]:
+                automaton.add_word("".join([letters[w] for w in phrase]), owner)
             automaton.make_automaton()
-            for part, (ids, listed, flat) in enumerate(held):
-                at = 0
+            width = len(next(iter(letters.values())))
+            other = OTHER * width
+            for part, (ids, listed) in enumerate(held):
                 for row, (doc_id, ws) in enumerate(zip(ids, listed)):
                     if len(ws) >= p.window:
+                        spelling = "".join([letters.get(w, other) for w in ws])
                         ends = [
-                            end
-                            for end, owner in automaton.iter(tuple(flat[at : at + len(ws)]))
+                            end // width
+                            for end, owner in automaton.iter(spelling)
                             if owner < doc_id
                         ]
                         if ends:
                             covered.setdefault((part, row), []).extend(ends)
-                    at += len(ws)
         rows = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "spans": []}
-        for part, (ids, listed, _) in enumerate(held):
+        for part, (ids, listed) in enumerate(held):
             for row, (doc_id, ws) in enumerate(zip(ids, listed)):
                 spans = _spans(covered.get((part, row), ()), p.window)
                 kept, at = [], 0
