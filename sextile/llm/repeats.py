@@ -28,8 +28,8 @@ class RepeatParams:
     # Text of a shard of documents, and fingerprints of a bucket, that one task holds.
     shard_bytes: int = 8 << 20
     bucket_rows: int = 1 << 20
-    # Phrases in one automaton; a shard with more has several and goes through each.
-    automaton_phrases: int = 200_000
+    # Words in one automaton; a shard with more has several and goes through each.
+    automaton_words: int = 2_000_000
 
 
 def _shard(ids: np.ndarray, shards: int) -> np.ndarray:
@@ -200,16 +200,20 @@ def _found(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _phrases(words: Words, hashes: np.ndarray, known: list[np.ndarray], p: RepeatParams):
-    """First words of windows that are confirmed to recur, one for each phrase, and its owner."""
+def _passages(words: Words, ids: np.ndarray, known: list[np.ndarray], p: RepeatParams):
+    """Runs of consecutive windows that an earlier document has: first word, and owners."""
     h1, h2, owner = known
     at = words.runs(p.window)
-    one, two = _fingerprints(words, hashes, p.window, at)
-    if not len(h1) or not len(one):
-        return at[:0], owner[:0], one[:0]
+    if not len(h1) or not len(at):
+        return
+    one, two = _fingerprints(words, words.hashes(), p.window, at)
     slot = np.minimum(np.searchsorted(h1, one), len(h1) - 1)
-    sure = (h1[slot] == one) & (h2[slot] == two)
-    return at[sure], owner[slot[sure]], one[sure]
+    sure = (h1[slot] == one) & (h2[slot] == two) & (owner[slot] < ids[words.owner()[at]])
+    at, owner = at[sure], owner[slot[sure]]
+    cuts = np.flatnonzero(np.diff(at) != 1) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+        if end > begin:
+            yield int(at[begin]), owner[begin:end]
 
 
 # Letters of the automata: one alphabet for each place in a word's number, and one beyond them all.
@@ -226,11 +230,22 @@ def _letters(words: set[bytes]) -> dict[bytes, str]:
     width = 1
     while BASE**width < len(words):
         width += 1
-    out = {}
-    for number, word in enumerate(sorted(words)):
-        digits = ((number // BASE**i) % BASE for i in range(width))
-        out[word] = "".join([chr(0x100 + i * BASE + d) for i, d in enumerate(digits)])
-    return out
+    number = np.arange(len(words))[:, None] // BASE ** np.arange(width) % BASE
+    spelled = (number + 0x100 + BASE * np.arange(width)).astype("<u4").tobytes().decode("utf-32-le")
+    return {w: spelled[i * width : (i + 1) * width] for i, w in enumerate(words)}
+
+
+def _blocks(passages: dict, most: int) -> Iterator[list]:
+    """Passages by blocks of so many words in all, or of one longer passage."""
+    block, total = [], 0
+    for passage in passages:
+        if block and total + len(passage) > most:
+            yield block
+            block, total = [], 0
+        block.append(passage)
+        total += len(passage)
+    if block:
+        yield block
 
 
 def _kept_rows(p: RepeatParams):
@@ -240,38 +255,31 @@ def _kept_rows(p: RepeatParams):
         known = [_flat(told, "c0"), _flat(told, "c1"), _flat(told, "c2", np.int64)]
         order = np.argsort(known[0], kind="stable")
         known = [k[order] for k in known]
-        held, phrases = [], {}
+        held, passages = [], {}
         for batch in _unshipped(docs):
             words = Words(batch.column(1))
-            starts, owners, marks = _phrases(words, words.hashes(), known, p)
+            ids = batch.column(0).to_numpy()
             listed = [words.text(i).split() for i in range(batch.num_rows)]
-            # Of windows with the same fingerprint one is enough.
-            _, once = np.unique(marks, return_index=True)
             flat = [w for ws in listed for w in ws]
-            for start, owner in zip(starts[once].tolist(), owners[once].tolist()):
-                phrases[tuple(flat[start : start + p.window])] = owner
-            held.append((batch.column(0).to_pylist(), listed))
-        letters = _letters({w for phrase in phrases for w in phrase})
+            for start, owners in _passages(words, ids, known, p):
+                passages[tuple(flat[start : start + len(owners) + p.window - 1])] = owners
+            held.append((ids.tolist(), listed))
+        letters = _letters({w for passage in passages for w in passage})
+        width = len(next(iter(letters.values()), ""))
         covered = {}
-        told_phrases = list(phrases.items())
-        for low in range(0, len(told_phrases), p.automaton_phrases):
+        for block in _blocks(passages, p.automaton_words):
             automaton = ahocorasick.Automaton()
-            for phrase, owner in told_phrases[low : low + p.automaton_phrases]:
-                automaton.add_word("".join([letters[w] for w in phrase]), owner)
+            for passage in block:
+                automaton.add_word("".join([letters[w] for w in passage]), passages[passage])
             automaton.make_automaton()
-            width = len(next(iter(letters.values())))
-            other = OTHER * width
             for part, (ids, listed) in enumerate(held):
                 for row, (doc_id, ws) in enumerate(zip(ids, listed)):
                     if len(ws) >= p.window:
-                        spelling = "".join([letters.get(w, other) for w in ws])
-                        ends = [
-                            end // width
-                            for end, owner in automaton.iter(spelling)
-                            if owner < doc_id
-                        ]
-                        if ends:
-                            covered.setdefault((part, row), []).extend(ends)
+                        spelling = "".join([letters.get(w, OTHER * width) for w in ws])
+                        for end, owners in automaton.iter(spelling):
+                            # The passage's windows end with the words up to this one.
+                            ends = np.flatnonzero(owners < doc_id) + end // width + 1 - len(owners)
+                            covered.setdefault((part, row), set()).update(ends.tolist())
         rows = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "spans": []}
         for part, (ids, listed) in enumerate(held):
             for row, (doc_id, ws) in enumerate(zip(ids, listed)):
@@ -347,8 +355,9 @@ def remove_repeats(
     2. Documents go to shards by id, and each shard is told which of its anchors recur.
     3. Windows with such an anchor are confirmed by 128-bit fingerprints. The first document owns the
        phrase, and the shards that have a later one are told.
-    4. Each shard compiles its phrases, as word sequences, into automata of bounded size and streams
-       its documents through them, which finds every occurrence.
+    4. Each shard joins consecutive phrases to passages, compiles these, as word sequences, into
+       automata of bounded size and streams all its documents through them, which finds every
+       occurrence; a window of a passage counts if its owner has a smaller id.
 
     A phrase is told once to a shard, however often it occurs there, and a bucket has at most two
     rows of it for each shard and batch, so that hot phrases weigh little anywhere.
