@@ -33,7 +33,7 @@ def occurrences(docs: DataFrame, terms: Column | str) -> DataFrame:
 
     A row's terms are sorted, so that the first of equal neighbours stands for the document.
     """
-    ordered = docs.select(F.array_sort(terms).alias("_terms"))
+    ordered = docs.select(F.sort_array(terms).alias("_terms"))
     marked = F.transform(
         "_terms",
         lambda term, i: F.struct(

@@ -37,15 +37,18 @@ MODEL_TYPE = "Random Forest"
 FRAMEWORK = "Spark ML"
 
 
+# The least number of partitions that a forest is fitted on.
+FIT_PARTITIONS = 8
+
+
 @dataclass(frozen=True)
 class ForestParams:
     """Settings of features and forest.
 
     `fit_partitions` fixes the placement of rows, on which the forest depends as it does on the
-    seed. Every partition adds up statistics for every node and these are shuffled, so the default
-    is as few as keep all cores busy and hold a partition's binned rows, 4 bytes per term, in 1 GB.
-    `max_bins` bounds the candidate thresholds of a term; term weights are mostly zero, and on
-    the largest given table 16 bins were as accurate as 32 in two thirds of the time.
+    seed. The default follows from the data alone: a partition's binned rows, 4 bytes per term,
+    take 1 GB at most, and there are FIT_PARTITIONS at least. So the model does not depend on the
+    cluster it is fitted on. `max_bins` bounds the candidate thresholds of a term.
     `max_memory_mb` bounds, per task, the statistics of the tree nodes that one pass over the
     rows splits together: more memory, fewer passes.
     """
@@ -53,7 +56,7 @@ class ForestParams:
     num_trees: int = NUM_TREES
     max_depth: int = MAX_DEPTH
     min_leaf: int = MIN_LEAF
-    max_bins: int = 16
+    max_bins: int = 32
     max_features: int = MAX_FEATURES
     min_df: int = MIN_DF
     max_df: float = MAX_DF
@@ -120,8 +123,7 @@ def train(
         to_vectors = f.vector_stages(vocabulary)
         labelled = f.label_indexer(split.classes, label_col).transform(train_words)
         vectors = PipelineModel(to_vectors).transform(labelled)
-        partitions = params.fit_partitions or fit_partitions(
-            articles.sparkSession, split.n_train, len(vocabulary.terms)
+        partitions = params.fit_partitions or fit_partitions(split.n_train, len(vocabulary.terms)
         )
         forest = fit_forest(vectors, id_col, params, partitions)
         to_label = IndexToString(inputCol=f.INDEX, outputCol=f.PREDICTED, labels=split.classes)
@@ -144,9 +146,9 @@ def train(
     return TrainedModel(model, metadata, counts)
 
 
-def fit_partitions(spark: SparkSession, n_rows: int, n_terms: int) -> int:
-    """Partitions for the fit: one per core, more once a partition would be over 1 GB."""
-    return max(spark.sparkContext.defaultParallelism, -(-n_rows * n_terms * 4 // 2**30))
+def fit_partitions(n_rows: int, n_terms: int) -> int:
+    """Partitions for the fit, from the data alone: a few, more once one would be over 1 GB."""
+    return max(FIT_PARTITIONS, -(-n_rows * n_terms * 4 // 2**30))
 
 
 def fit_forest(

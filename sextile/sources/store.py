@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,10 @@ def log_rows(
     ).withColumn("date", utc_date("timestamp"))
 
 
+# Readers of a log's own folder pass over names like this.
+STREAMS = "_streams"
+
+
 def append_predictions(rows: DataFrame, path: str, many_days: bool = False) -> None:
     """Append one batch of `log_rows`.
 
@@ -87,8 +93,23 @@ def append_predictions(rows: DataFrame, path: str, many_days: bool = False) -> N
     rows.write.mode("append").partitionBy("date").parquet(path)
 
 
+def stream_folder(path: str, checkpoint: str) -> str:
+    """Where the stream with this checkpoint writes within the log at `path`.
+
+    A stream's sink keeps a list of its own files, which readers of its folder go by alone.
+    """
+    return f"{path}/{STREAMS}/{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    """The rows of all writers: batches in the log's own folder, and each stream in its own."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    streams = jvm.Path(f"{path}/{STREAMS}")
+    files = streams.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(streams) if files.exists(streams) else []
+    folders = [path, *(f"{path}/{STREAMS}/{s.getPath().getName()}" for s in found)]
+    reader = spark.read.schema(LOG_SCHEMA)
+    return reduce(DataFrame.union, [reader.parquet(folder) for folder in folders])
 
 
 def append_model(spark: SparkSession, path: str, metadata: dict) -> int:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.constants import TEXT_COLUMN
 from ..plans.scoring import scored_log_rows
-from ..sources.store import utc_date
+from ..sources.store import stream_folder, utc_date
 
 
 def read_stream(
@@ -40,27 +40,33 @@ def stream_scores(
     available_now: bool = False,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Score every text that arrives and append it to the log, each row exactly once."""
+    """Score every text that arrives and append it to the log, each row exactly once.
+
+    The stream has a folder of its own in the log, named after its checkpoint, so that streams and
+    batches do not hide each other's rows; `read_log` reads them all.
+    """
     rows = scored_log_rows(model, stream, id_col, text_col, version, timestamp_col)
     writer = (
         rows.writeStream.format("parquet")
         .outputMode("append")
         .partitionBy("date")
-        .option("path", log_path)
+        .option("path", stream_folder(log_path, checkpoint))
         .option("checkpointLocation", checkpoint)
     )
     return _start(writer, available_now, every)
 
 
-def daily_figures(stream: DataFrame, delay: str = "2 days") -> DataFrame:
+def daily_figures(stream: DataFrame, delay: str | None = None) -> DataFrame:
     """Count and mean confidence by category and UTC day of a streamed log.
 
-    The state is one row per category and day; days older than the watermark leave it.
+    The state is one row per category and day, and every late row counts. With `delay`, days older
+    than the watermark leave the state, and rows that come later than that are dropped.
     """
     timed = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    if delay:
+        timed = timed.withWatermark("timestamp", delay)
     return (
-        timed.withWatermark("timestamp", delay)
-        .groupBy(F.window("timestamp", "1 day").alias("day"), "predicted_category")
+        timed.groupBy(F.window("timestamp", "1 day").alias("day"), "predicted_category")
         .agg(F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("avg_confidence"))
         .select(F.col("day.start").alias("start"), "predicted_category", "count", "avg_confidence")
         .withColumn("date", utc_date("start"))
@@ -72,7 +78,7 @@ def stream_daily_stats(
     stream: DataFrame,
     path: str,
     checkpoint: str,
-    delay: str = "2 days",
+    delay: str | None = None,
     available_now: bool = False,
     every: str | None = None,
 ) -> StreamingQuery:

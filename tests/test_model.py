@@ -133,9 +133,8 @@ def test_input_is_left_alone_and_checked(spark):
 
 
 def test_partitions_of_the_fit(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert training.fit_partitions(spark, 8000, 5000) == cores
-    assert training.fit_partitions(spark, 10**9, 5000) == -(-2 * 10**13 // 2**30)
+    assert training.fit_partitions(8000, 5000) == training.FIT_PARTITIONS
+    assert training.fit_partitions(10**9, 5000) == -(-2 * 10**13 // 2**30)
 
 
 def test_progress(spark):

@@ -4,13 +4,14 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences
+from sextile.plans import queries as registered
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_registration():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    without = set(registered.ALL) - set(entry.oracle_sql())
     assert without == {"train_report", "score_batch", "score_probabilities", "stream_scores"}
 
 
@@ -20,7 +21,7 @@ def test_entry(spark):
     assert report.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.ALL))
 def test_query(spark, name):
     query, sql = entry.queries()[name], entry.oracle_sql().get(name)
     if sql is None:

@@ -127,3 +127,32 @@ def test_source_is_one_file_or_a_folder(spark, folder, name):
         )
         query.awaitTermination()
         assert sum(p["numInputRows"] for p in query.recentProgress) == table.count()
+
+
+def test_writers_of_one_log_do_not_hide_each_other(spark, folder):
+    """Batches and streams in turn, each stream with its own checkpoint and restarted once."""
+    log = f"{folder}/log"
+
+    def rows(first, n):
+        ids = spark.range(first, first + n).withColumn("text", F.concat(F.lit("t"), "id"))
+        return ids.selectExpr(
+            "id", "text", "'Legal' predicted_category", "0.5D confidence",
+            "timestamp'2024-01-02 03:04:05' timestamp", "'v' model_version", "date'2024-01-02' date",
+        )
+
+    def stream(name, source):
+        frame = spark.readStream.schema(rows(0, 1).schema).parquet(source)
+        query = (
+            frame.writeStream.format("parquet").partitionBy("date")
+            .option("path", store.stream_folder(log, f"{folder}/{name}"))
+            .option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+        )
+        assert query.awaitTermination(60)
+
+    store.append_predictions(rows(0, 3), log)
+    for name, first in (("a", 10), ("b", 20), ("a", 30)):
+        rows(first, 4).write.mode("append").parquet(f"{folder}/source_{name}")
+        stream(name, f"{folder}/source_{name}")
+    store.append_predictions(rows(40, 2), log)
+    got = sorted(r.id for r in store.read_log(spark, log).collect())
+    assert got == [0, 1, 2, *range(10, 14), *range(20, 24), *range(30, 34), 40, 41]
