@@ -197,9 +197,10 @@ def pack(
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )
     run = _pieces(public_tokenizers.path(params.tokenizer), params, with_ids)
-    pieces = scratch.table(texts.mapInArrow(run, schema), "pieces")
+    made = texts.mapInArrow(run, schema).withColumn("piece", F.monotonically_increasing_id())
+    pieces = scratch.table(made, "pieces")
     classes = -(-params.length // params.grain)
-    classed = pieces.withColumn("class", F.ceil(F.col("length") / params.grain).cast("int"))
+    classed = pieces.drop("ids").withColumn("class", F.ceil(F.col("length") / params.grain).cast("int"))
     counts = np.zeros(classes, np.int64)
     for row in classed.groupBy("class").count().collect():
         counts[row["class"] - 1] = row["count"]
@@ -233,9 +234,13 @@ def pack(
         "sequence_id", sequence("class", F.col("before") + F.col("within"))
     )
     filled = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start")
-    return placed.withColumn(
-        "offset", F.sum("length").over(filled) - F.col("length")
-    ).select(*_PIECE.names, "sequence_id", "offset")
+    placed = placed.withColumn("offset", F.sum("length").over(filled) - F.col("length"))
+    # The ids are moved once, when their places are known.
+    ids = pieces.select("piece", "ids")
+    placed = placed.join(ids, "piece") if with_ids else placed.withColumn("ids", F.lit(None))
+    return placed.withColumn("ids", F.col("ids").cast("binary")).select(
+        *_PIECE.names, "sequence_id", "offset"
+    )
 
 
 def sequences(pieces: DataFrame, params: PackParams = PackParams()) -> DataFrame:
