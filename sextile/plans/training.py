@@ -123,7 +123,8 @@ def train(
         to_vectors = f.vector_stages(vocabulary)
         labelled = f.label_indexer(split.classes, label_col).transform(train_words)
         vectors = PipelineModel(to_vectors).transform(labelled)
-        partitions = params.fit_partitions or fit_partitions(split.n_train, len(vocabulary.terms)
+        partitions = params.fit_partitions or fit_partitions(
+            split.n_train, len(vocabulary.terms)
         )
         forest = fit_forest(vectors, id_col, params, partitions)
         to_label = IndexToString(inputCol=f.INDEX, outputCol=f.PREDICTED, labels=split.classes)
