@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import BROADCAST_ROWS
+
 # Public licence texts and the notices by which works refer to them.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
 software and associated documentation files (the "Software"), to deal in the Software without
@@ -71,16 +75,39 @@ RULES = (
 )
 
 
+# What RULES write in another way, as plain pairs.
+SPELLINGS = (
+    *((f"{x}our", f"{x}or") for x in ("fav", "col", "hon", "behavi", "lab", "neighb")),
+    *((f"{x}ement", f"{x}ment") for x in ("acknowledg", "judg")),
+    *((f"{x} {y}", f"{x}{y}") for x in ("sub", "non") for y in ("licens", "infring")),
+)
+_CLAIMS = ("copyright", "©", "(c)", "all rights reserved")
+_KEPT = "a-z0-9\n\\x{c0}-\\x{1fff}\\x{3040}-\\x{10ffff}"
+
+
 def canonical_lines(text: Column) -> Column:
-    """The text in canonical form, with its line ends; a null text is empty."""
+    """The text in canonical form, with its line ends; a null text is empty.
+
+    This is what RULES say, with patterns only where plain replacement cannot do: claims are looked
+    for in texts that have such a word, single spaces are not replaced by themselves, and once there
+    are only single spaces, those around line ends and other spellings are plain strings.
+    """
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, instead in RULES:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(instead))
+    claims = reduce(Column.__or__, (F.contains(out, F.lit(x)) for x in _CLAIMS))
+    pattern, instead = RULES[0]
+    out = F.when(claims, F.regexp_replace(out, F.lit(pattern), F.lit(instead))).otherwise(out)
+    out = F.regexp_replace(out, F.lit(f"[^ {_KEPT}][^{_KEPT}]*| [^{_KEPT}]+"), F.lit(" "))
+    for old, new in ((" \n", "\n"), ("\n ", "\n"), ("licenc", "licens")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    out = F.regexp_replace(out, F.lit("is(ation|e|ed|es|ing)([ \n]|$)"), F.lit("iz$1$2"))
+    for old, new in SPELLINGS:
+        out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
 def _whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    """Canonical lines as one line; spaces within them are single already."""
+    return F.trim(F.regexp_replace(lines, F.lit("\n+"), F.lit(" ")))
 
 
 def catalogue(spark: SparkSession, known=CATALOGUE) -> DataFrame:
@@ -104,38 +131,40 @@ def scan_licences(
     Repeated rows count once, rows without an id are left out; other columns are not read; no rows
     give no rows.
 
-    Everything is expressions and joins by digest. Only lines that match are grouped; the documents'
-    texts are read once for each of the two joins and are not shuffled.
+    Everything is expressions and a join by digest. A text is brought to its form once, and its lines
+    follow it through the join; only digests of whole texts and of lines that match are grouped. The
+    known digests, one row each, are broadcast if they were counted and are few.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines")
     )
     known = known.select("digest", "licence")
-    whole = (
-        texts.select("doc_id", F.sha2(_whole(F.col("lines")), 256).alias("digest"))
-        .distinct()
-        .join(known, "digest", "left")
-    )
-    line = texts.select("doc_id", F.posexplode(F.split("lines", "\n")).alias("place", "line"))
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    # The whole text has place 0, its lines follow.
+    units = F.concat(F.array(_whole(F.col("lines"))), F.split("lines", "\n"))
     found = (
-        line.where("line <> '' and line <> ' '")
-        .select("doc_id", "place", F.sha2(_whole(F.col("line")), 256).alias("digest"))
-        .join(known, "digest")
+        texts.select("doc_id", F.posexplode(units).alias("place", "unit"))
+        .withColumn("unit", F.trim("unit"))
+        .where("place = 0 or unit <> ''")
+        .select("doc_id", "place", F.sha2("unit", 256).alias("digest"))
+        .join(known, "digest", "left")
+        .where("place = 0 or licence is not null")
         .distinct()
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n"), F.collect_set("licence").alias("ids"))
     )
-    ids = F.array_union(
-        F.coalesce("ids", F.array().cast("array<string>")),
-        F.when(F.col("licence").isNull(), F.array().cast("array<string>")).otherwise(
-            F.array("licence")
-        ),
+    entire = F.when(F.col("place") == 0, F.struct("digest", "licence"))
+    line = F.when(F.col("place") > 0, F.col("licence"))
+    grouped = found.groupBy("doc_id").agg(
+        F.collect_set(entire).alias("entire"),
+        F.count(line).alias("n_licence_lines"),
+        F.collect_set(line).alias("ids"),
     )
-    return whole.join(found, "doc_id", "left").select(
+    ids = F.array_distinct(F.array_compact(F.array_append("ids", F.col("entire.licence"))))
+    return grouped.withColumn("entire", F.explode("entire")).select(
         "doc_id",
-        F.col("digest").alias("text_digest"),
-        F.col("licence").alias("text_licence"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_licence_lines"),
+        F.col("entire.digest").alias("text_digest"),
+        F.col("entire.licence").alias("text_licence"),
+        "n_licence_lines",
         F.array_join(F.sort_array(ids), ",").alias("licences"),
     )
 

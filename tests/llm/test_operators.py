@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sextile.llm import decontaminate, exact, html, langid, licences, near, packing, pii, repeats, warc
@@ -146,6 +147,19 @@ def test_plan_packs_everything():
             assert all((p * np.arange(1, room + 1)).sum() <= room for p, _ in used)
 
 
+def test_canonical_lines_are_what_the_rules_say(spark):
+    bits = ["licence", "sub licence", "non-infring", "favour", "COLOURISED", "organise", "judgement"]
+    bits += ["is", "ised", "ize", "our", "x", "é", "東京", "\u3000", ",", "©", "(c) ", "Copyright 2020"]
+    bits += [" ", "  ", "\n", " \n ", "\r\n", "\t", "\n\n", "all rights reserved"]
+    draw = random.Random(5)
+    rows = [("".join(draw.choices(bits, k=draw.randint(0, 25))),) for _ in range(5000)] + [(None,)]
+    frame = spark.createDataFrame(rows, "text string")
+    ruled = F.lower(F.coalesce("text", F.lit("")))
+    for pattern, instead in licences.RULES:
+        ruled = F.regexp_replace(ruled, F.lit(pattern), F.lit(instead))
+    assert frame.where(ruled != licences.canonical_lines(F.col("text"))).count() == 0
+
+
 def test_licences(spark):
     mit = dict(licences.CATALOGUE[:1])["MIT"]
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sub-licence").upper())]
