@@ -162,20 +162,25 @@ class _Scorer:
         return self._rows[np.searchsorted(self._codes, codes)]
 
 
+def _nearest(scorer: _Scorer, texts: list[str | None], n_languages: int):
+    """The number of each text's language, `n_languages` if it has none, and all dot products."""
+    codes, sizes = grams(texts)
+    dots = np.zeros((len(texts), n_languages))
+    some = np.flatnonzero(sizes)
+    if not n_languages or not len(some):
+        return np.full(len(texts), n_languages), dots
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[some]
+    # A bundle's dot product is the sum of its n-grams' dot products.
+    dots[some] = np.add.reduceat(scorer(codes), begin)
+    return np.where(sizes > 0, dots.argmax(axis=1), n_languages), dots
+
+
 def _predicted(profiles: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(profiles)
         names = np.array([*profiles.languages, UNKNOWN], object)
         for batch in slices(batches):
-            codes, sizes = grams(batch.column(1).to_pylist())
-            dots = np.zeros((batch.num_rows, len(profiles.languages)))
-            some = np.flatnonzero(sizes)
-            if len(some) and len(profiles.languages):
-                begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[some]
-                # A bundle's dot product is the sum of its n-grams' dot products.
-                dots[some] = np.add.reduceat(scorer(codes), begin)
-            best = dots.argmax(axis=1) if dots.shape[1] else np.zeros(len(dots), int)
-            best = np.where((sizes > 0) & (dots.shape[1] > 0), best, len(profiles.languages))
+            best, dots = _nearest(scorer, batch.column(1).to_pylist(), len(profiles.languages))
             positive = np.maximum(dots, 0)
             top = np.append(positive, np.zeros((len(dots), 1)), axis=1)[np.arange(len(dots)), best]
             score = top / np.maximum(positive.sum(axis=1), 1e-300)
@@ -200,3 +205,22 @@ def identify(
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_predicted(profiles), "doc_id long, lang_pred string, score double")
+
+
+def known_only(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text has a language that was learned.
+
+    Every row is judged by itself as in `identify`, and nothing is shuffled or joined.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(profiles)
+        n = len(profiles.languages)
+        for batch in slices(batches, at):
+            best, _ = _nearest(scorer, batch.column(at).to_pylist(), n)
+            yield batch.filter(pa.array(best < n))
+
+    # Names may have dots, which `mapInArrow` does not quote.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 # Bytes of text that are hashed at a time, unless a single text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -105,7 +105,7 @@ def sequences(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about CHUNK_BYTES of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
