@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sextile.llm import decontaminate, exact, langid, near, packing
 from sextile.llm.queries import send_code, settled, table
-from sextile.sources.shared import materialize
+from sextile.sources.shared import BROADCAST_ROWS, materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     send_code(spark)
     labelled = table(spark, sf_dir, "documents")
     profiles = langid.learn(labelled)
-    known = langid.identify(docs, profiles).where(F.col("lang_pred") != langid.UNKNOWN)
-    return _kept(docs, known)
+    return langid.known_only(docs.where("doc_id IS NOT NULL"), profiles)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +32,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     def build(scratch):
         groups = exact.exact_groups(docs, scratch)
-        return groups.where("doc_id = keep_id").select("doc_id")
+        return groups.where("doc_id <> keep_id").select("doc_id")
 
-    return _kept(docs, settled(spark, "kept", build))
+    return _without(docs, settled(spark, "dropped", build))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +42,19 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     def build(scratch):
         classes = near.near_duplicates(docs, scratch)
-        return classes.where("doc_id = component_id").select("doc_id")
+        return classes.where("doc_id <> component_id").select("doc_id")
 
-    return _kept(docs, settled(spark, "kept", build))
+    return _without(docs, settled(spark, "dropped", build))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    send_code(spark)
-    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*_all(docs))
+    items = table(spark, sf_dir, "benchmark")
+
+    def build(scratch):
+        return decontaminate.leaks(docs, items).select("doc_id").distinct()
+
+    return _without(docs, settled(spark, "dropped", build))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +67,16 @@ def _all(docs: DataFrame) -> list[str]:
     return ["`" + name.replace("`", "``") + "`" for name in docs.columns]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*_all(docs))
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose id is not among the dropped ones.
+
+    Those are sent to all tasks (8 bytes each) if they were counted and are few, and then no text is
+    shuffled; more of them are joined.
+    """
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    left = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti")
+    return left.select(*_all(docs))
 
 
 STAGES = [
