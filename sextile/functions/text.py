@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from .constants import ENGLISH_STOP_WORDS, LOG_TEXT_CHARS, NA_STRINGS, TOKEN_PATTERN, WHITESPACE
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def strip(text: Column | str) -> Column:
     """Trim all white space, not only blanks.
 

@@ -6,14 +6,30 @@ other tables are built on it, so a caller can materialise it once for a whole pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import utc_day
 from .metrics import ratio
 
 
+def between(df: DataFrame, since: date | None = None, until: date | None = None) -> DataFrame:
+    """Rows of the UTC days from `since` to `until`, both included, if given.
+
+    Of a stored log or rollup, no other days are read.
+    """
+    if since is not None:
+        df = df.where(utc_day(df) >= F.lit(since))
+    if until is not None:
+        df = df.where(utc_day(df) <= F.lit(until))
+    return df
+
+
 def daily_rollup(log: DataFrame) -> DataFrame:
-    return log.groupBy("predicted_category", F.to_date("timestamp").alias("date")).agg(
+    """Figures by category and UTC day."""
+    return log.groupBy("predicted_category", utc_day(log).alias("date")).agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("confidence").alias("avg_confidence"),
         F.sum("confidence").alias("confidence_sum"),
@@ -82,18 +98,8 @@ def log_summary(rollup: DataFrame) -> DataFrame:
 def recent_predictions(log: DataFrame, n: int = 20) -> DataFrame:
     """The latest predictions; of equal times the larger id first.
 
-    Where the log has its partition column `date`, the newest days that together hold `n` rows
-    are found first, from row counts, and only those partitions are read. Every day has a row,
-    so `n` days suffice.
+    Of a stored log, `sources.store.read_recent_log` gives the days that matter.
     """
-    if "date" in log.columns:
-        days = log.groupBy("date").count().where("date IS NOT NULL")
-        held = 0
-        for day in days.orderBy(F.desc("date")).limit(n).collect():
-            held += day["count"]
-            if held >= n:
-                log = log.where(F.col("date") >= F.lit(day["date"]))
-                break
     return (
         log.orderBy(F.desc("timestamp"), F.desc("id"))
         .limit(n)
@@ -112,16 +118,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def category_share(scored: DataFrame, column: str = "predicted_category") -> DataFrame:
-    """Rows and share of the whole per category.
-
-    The window without a partition sees the aggregated table only, one row per category.
-    """
-    counts = (
-        scored.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    total = F.sum("count").over(Window.partitionBy())
+    """Rows and share of the whole per category."""
+    known = scored.where(F.col(column).isNotNull())
+    counts = known.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    total = known.agg(F.count(F.lit(1))).scalar()
     return counts.select(column, "count", ratio(F.col("count"), total).alias("share")).orderBy(
         F.desc("count"), column
     )

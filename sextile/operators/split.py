@@ -47,15 +47,20 @@ class Split:
 
 
 def train_quotas(class_counts: Mapping[str, int], test_percent: int = 20) -> dict[str, int]:
-    """Training rows per class: floor shares, then one more to the largest remainders.
+    """Training rows per class."""
+    total = sum(class_counts.values())
+    return shares(class_counts, total - -(-total * test_percent // 100))
+
+
+def shares(class_counts: Mapping[str, int], n: int) -> dict[str, int]:
+    """`n` rows by class: floor shares, then one more to the largest remainders.
 
     Whole-number arithmetic; equal remainders go to the smaller label.
     """
     total = sum(class_counts.values())
-    n_train = total - -(-total * test_percent // 100)
-    quotas = {label: count * n_train // total for label, count in class_counts.items()}
-    by_remainder = sorted(class_counts, key=lambda c: (-(class_counts[c] * n_train % total), c))
-    for label in by_remainder[: n_train - sum(quotas.values())]:
+    quotas = {label: count * n // total for label, count in class_counts.items()}
+    by_remainder = sorted(class_counts, key=lambda c: (-(class_counts[c] * n % total), c))
+    for label in by_remainder[: n - sum(quotas.values())]:
         quotas[label] += 1
     return quotas
 
@@ -76,10 +81,17 @@ def check_classes(class_counts: Mapping[str | None, int], test_percent: int = 20
 
 
 def stratified_split(
-    df: DataFrame, id_col: str, label_col: str, test_percent: int = 20, seed: int = SEED
+    df: DataFrame,
+    id_col: str,
+    label_col: str,
+    test_percent: int = 20,
+    seed: int = SEED,
+    n_train: int | None = None,
 ) -> Split:
     """Assign every row to 'train' or 'test', with exact quotas per class.
 
+    With `n_train`, so many rows are 'train', however small a class's part becomes.
+
     A row's place is its rank by md5(seed|id) within its class. Ranking a class would put a third
     of all rows into one sort, so only the cut of each class is looked for. Counts per hash prefix
     give the prefix at which the quota is reached; where it has many rows, the same again with
@@ -98,8 +110,11 @@ def stratified_split(
         # The list of classes is part of the model and lives on the driver in any case.
         totals = histogram.groupBy("_label").agg(F.sum("_n").alias("_n"))
         class_counts = {row["_label"]: row["_n"] for row in totals.collect()}
-        check_classes(class_counts, test_percent)
-        quotas = train_quotas(class_counts, test_percent)
+        if n_train is None:
+            check_classes(class_counts, test_percent)
+            quotas = train_quotas(class_counts, test_percent)
+        else:
+            quotas = shares(class_counts, min(n_train, sum(class_counts.values())))
         edges = _edges(histogram, _per_class(spark, quotas.items(), "_quota long"))
     finally:
         histogram.unpersist()

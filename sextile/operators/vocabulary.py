@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_DF, MAX_FEATURES, MIN_DF
 from ..functions.text import bigrams
-from ..sources.shared import BROADCAST_ROWS, Scratch, materialize
+from ..sources.shared import BROADCAST_BYTES, BROADCAST_ROWS, Scratch, materialize
 
 
 @dataclass(frozen=True)
@@ -113,10 +113,11 @@ def weighted(counts: DataFrame, n_docs: int) -> DataFrame:
 
 
 def _pairs_within(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs with both words in `words`; all pairs, which is as exact, if that list is long."""
-    if words.count() > BROADCAST_ROWS:
-        return pairs
-    left, right = (F.broadcast(words.withColumnRenamed("term", c)) for c in ("_left", "_right"))
+    """Pairs with both words in `words`, which is broadcast if it was measured to be small."""
+    n, size = words.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
+    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
+        words = F.broadcast(words)
+    left, right = (words.withColumnRenamed("term", c) for c in ("_left", "_right"))
     return (
         pairs.withColumn("_left", F.substring_index("term", " ", 1))
         .withColumn("_right", F.substring_index("term", " ", -1))

@@ -40,7 +40,8 @@ VIEWS = {
                ts AS timestamp, CAST(ts AS DATE) AS date, 'Random Forest' AS model_version
         FROM events""",
     "stats": """
-        SELECT predicted_category, date, count(*) AS count, avg(confidence) AS avg_confidence
+        SELECT predicted_category, date, count(*) AS count, avg(confidence) AS avg_confidence,
+               max(timestamp) AS last
         FROM prediction_log GROUP BY predicted_category, date""",
     "prepared": f"""
         SELECT article_id, category, prepared_text FROM (
@@ -192,7 +193,14 @@ def _na_null(column: str) -> str:
 ALL: dict[str, str] = {
     "prediction_stats": _with(
         "stats",
-        """SELECT predicted_category, count, round(avg_confidence, 6) AS avg_confidence, date
+        """SELECT predicted_category, count, round(avg_confidence, 6) AS avg_confidence, date,
+                  row_number() OVER (ORDER BY last DESC, predicted_category) AS rank
+           FROM stats""",
+    ),
+    "rollup_store": _with(
+        "stats",
+        """SELECT predicted_category, count, round(avg_confidence, 6) AS avg_confidence, date,
+                  row_number() OVER (ORDER BY last DESC, predicted_category) AS rank
            FROM stats""",
     ),
     "category_totals": _with(
@@ -205,7 +213,8 @@ ALL: dict[str, str] = {
         """SELECT predicted_category, round(avg(avg_confidence), 6) AS avg_confidence,
                   round((SELECT avg(confidence) FROM prediction_log p
                          WHERE p.predicted_category = s.predicted_category), 6)
-                      AS row_avg_confidence
+                      AS row_avg_confidence,
+                  row_number() OVER (ORDER BY avg(avg_confidence) DESC, predicted_category) AS rank
            FROM stats s GROUP BY predicted_category""",
     ),
     "daily_totals": _with(
@@ -372,7 +381,8 @@ ALL: dict[str, str] = {
         "model_runs",
         """SELECT model_name, round(accuracy, 6) AS accuracy, round(f1_score, 6) AS f1_score,
                   trained_date, n_samples, CAST(1 AS DOUBLE) AS training_time,
-                  id = (SELECT max(id) FROM model_runs) AS is_active
+                  id = (SELECT max(id) FROM model_runs) AS is_active,
+                  row_number() OVER (ORDER BY trained_date DESC, id DESC) AS rank
            FROM model_runs""",
     ),
     "metric_series": _with(
@@ -393,6 +403,27 @@ ALL: dict[str, str] = {
                   id = (SELECT max(id) FROM model_runs) AS is_active
            FROM model_runs""",
     ),
+    "registry_append": _with(
+        "report split_articles",
+        f"""SELECT 'Random Forest' AS model_name,
+                  (SELECT round(avg(CAST(y_true = y_pred AS INT)), 6) FROM test_pairs) AS accuracy,
+                  f1_score, precision AS precision_score, recall AS recall_score,
+                  (SELECT count(*) FROM split_articles) AS n_samples,
+                  (SELECT count(*) FROM split_articles WHERE split = 'train') AS n_train,
+                  (SELECT count(*) FROM split_articles WHERE split = 'test') AS n_test,
+                  'Spark ML' AS framework, true AS is_active
+           FROM (SELECT {_WEIGHTED} FROM report)""",
+        pairs="test_pairs",
+    ),
+    "score_csv": f"""
+        SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn,
+               role, {_na_null("text")} AS text, {_na_null("text")} IS NOT NULL AS known,
+               {_na_null("text")} IS NOT NULL AS sure
+        FROM conversations""",
+    "bundle_contract": """
+        SELECT count(*) AS n_rows, count(*) AS n_same, true AS same_record FROM documents""",
+    "log_shared": f"""SELECT doc_id AS id, substr(text, 1, 500) AS text, 'Unknown' AS model_version
+                      FROM documents WHERE length(trim(text, '{WHITESPACE}')) > 0""",
     "score_contract": """
         SELECT count(*) AS n_rows, CAST(sum(doc_id) AS BIGINT) AS key_sum,
                CAST(0 AS BIGINT) AS n_unknown_labels, CAST(0 AS BIGINT) AS n_bad_confidence,

@@ -11,11 +11,12 @@ from ..functions.constants import DESCRIPTION, HEADLINE, LABEL, TAGS
 from ..functions.text import terms, tokens
 from ..operators import analytics, features, metrics, registry, vocabulary
 from ..operators.split import Split, split_counts, stratified_split
-from ..sources import csv, store
+from ..sources import bundle, csv, store
 from ..sources.shared import materialize, new_path, spread
 from ..streaming import jobs
+from . import rollup as stored
 from . import scoring, training, views
-from .views import rounded
+from .views import ranked, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,7 +73,8 @@ def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analytics.prediction_stats(rollup(spark, sf_dir)), ["avg_confidence"])
+    table = analytics.prediction_stats(rollup(spark, sf_dir))
+    return ranked(rounded(table, ["avg_confidence"]))
 
 
 def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = analytics.category_confidence(rollup(spark, sf_dir))
-    return rounded(table, ["avg_confidence", "row_avg_confidence"])
+    return ranked(rounded(table, ["avg_confidence", "row_avg_confidence"]))
 
 
 def daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +109,8 @@ def recent_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     log_path, _ = store.create_tables(spark, new_path(spark, "store"))
     rows = store.log_rows(views.prediction_log(spark, sf_dir), "id", timestamp_col="timestamp")
     store.append_predictions(rows, log_path, many_days=True)
-    recent = analytics.recent_predictions(store.read_log(spark, log_path))
-    utc = F.col("timestamp").cast("timestamp_ntz")
+    recent = analytics.recent_predictions(store.read_recent_log(spark, log_path, 20))
+    utc = F.to_utc_timestamp("timestamp", F.current_timezone()).cast("timestamp_ntz")
     return rounded(recent.withColumn("timestamp", utc), ["confidence"])
 
 
@@ -136,6 +138,22 @@ def log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(store.read_log(spark, log_path).select(*columns), ["confidence"])
 
 
+def rollup_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored daily figures of a log that grew: all days, then those of the second batch."""
+    log_path, _ = store.create_tables(spark, new_path(spark, "store"))
+    path = new_path(spark, "rollup")
+    rows = store.log_rows(views.prediction_log(spark, sf_dir), "id", timestamp_col="timestamp")
+    early = F.col("date") < F.lit("2024-01-16").cast("date")
+    store.append_predictions(rows.where(early | (F.col("id") % 2 == 0)), log_path, many_days=True)
+    stored.update_rollup(store.read_log(spark, log_path), path)
+    late = rows.where(~early & (F.col("id") % 2 != 0))
+    store.append_predictions(late, log_path, many_days=True)
+    days = [row["date"] for row in late.select("date").distinct().collect()]
+    stored.update_rollup(store.read_log(spark, log_path), path, days)
+    table = analytics.prediction_stats(stored.read_rollup(spark, path))
+    return ranked(rounded(table, ["avg_confidence"]))
+
+
 # --- labelled articles ------------------------------------------------------------------------
 
 
@@ -330,7 +348,7 @@ def run_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = materialize(views.model_runs(spark, sf_dir), "runs")
-    return rounded(registry.model_history(runs), ["accuracy", "f1_score"])
+    return ranked(rounded(registry.model_history(runs), ["accuracy", "f1_score"]))
 
 
 def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,6 +370,16 @@ def registry_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stored, ["accuracy", "f1_score", "precision_score", "recall_score"])
 
 
+def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run record appended to the registry as a training run does it, and read back."""
+    _, path = store.create_tables(spark, new_path(spark, "store"))
+    store.append_model(spark, path, test_record(spark, sf_dir))
+    columns = ["model_name", "accuracy", "f1_score", "precision_score", "recall_score"]
+    columns += ["n_samples", "n_train", "n_test", "framework", "is_active"]
+    rows = registry.with_active(store.read_registry(spark, path)).select(*columns)
+    return rounded(rows, columns[1:5])
+
+
 # --- model ------------------------------------------------------------------------------------
 
 
@@ -400,6 +428,56 @@ def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_log(spark, log_path).select("id", "text", "model_version")
 
 
+def score_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as CSV, read, scored, written as CSV and read back: input columns, and validity."""
+    given, path = new_path(spark, "texts-csv"), new_path(spark, "scored-csv")
+    csv.write_csv(views.table(spark, sf_dir, "conversations"), given)
+    model = small_model(spark, sf_dir).model
+    csv.write_csv(scoring.score(model, csv.read_texts(spark, given)), path)
+    sure = F.col("confidence").cast("double")
+    return csv.read_texts(spark, path).select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.coalesce(F.col("predicted_category").isin(*scoring.classes_of(model)), F.lit(False)).alias("known"),
+        F.coalesce(sure.between(0.0, 1.0), F.lit(False)).alias("sure"),
+    )
+
+
+def bundle_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model stored and loaded again scores every document as before."""
+    trained, root = small_model(spark, sf_dir), new_path(spark, "models")
+    bundle.save_model(spark, trained.model, trained.metadata, root)
+    model, metadata = bundle.load_model(spark, root)
+    scores = [
+        scoring.score(m, documents(spark, sf_dir)).select(
+            "doc_id", F.struct("predicted_category", "confidence").alias(name)
+        )
+        for m, name in ((trained.model, "before"), (model, "after"))
+    ]
+    return scores[0].join(scores[1], "doc_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("before").eqNullSafe(F.col("after"))).alias("n_same"),
+        F.lit(metadata == trained.metadata).alias("same_record"),
+    )
+
+
+def log_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one log, by a batch, a stream, a second batch and a second stream."""
+    log_path, _ = store.create_tables(spark, new_path(spark, "store"))
+    model = small_model(spark, sf_dir).model
+    part = F.pmod("doc_id", F.lit(4))
+    for i in (0, 2):
+        batch = documents(spark, sf_dir).where(part == i)
+        scoring.score_and_log(model, batch, log_path, "doc_id")
+        arriving = _source_stream(spark, sf_dir, "documents").where(part == i + 1)
+        jobs.stream_scores(
+            model, arriving, log_path, new_path(spark, "stream-checkpoint"), "doc_id", available_now=True
+        ).awaitTermination()
+    return store.read_log(spark, log_path).select("id", "text", "model_version")
+
+
 def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, then the per-category report on the test part."""
     trained = small_model(spark, sf_dir)
@@ -469,6 +547,7 @@ ALL: dict[str, Query] = {
     "category_share": category_share,
     "predicted_distribution": predicted_distribution,
     "log_store": log_store,
+    "rollup_store": rollup_store,
     "label_distribution": label_distribution,
     "dataset_shape": dataset_shape,
     "dataset_preview": dataset_preview,
@@ -499,11 +578,15 @@ ALL: dict[str, Query] = {
     "metric_series": metric_series,
     "registry_summary": registry_summary,
     "registry_store": registry_store,
+    "registry_append": registry_append,
     "train_report": train_report,
     "score_batch": score_batch,
     "score_probabilities": score_probabilities,
     "score_contract": score_contract,
     "score_log": score_log,
+    "score_csv": score_csv,
+    "bundle_contract": bundle_contract,
+    "log_shared": log_shared,
     "stream_scores": stream_scores,
     "stream_score_contract": stream_score_contract,
     "stream_daily_stats": stream_daily_stats,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import TEXT_COLUMN
-from ..functions.text import is_blank
+from ..functions.text import is_blank, quoted
 from ..operators.features import PREDICTED, PROBABILITY, TEXT
 from ..sources.store import append_predictions, log_rows
 
@@ -33,28 +33,27 @@ def score(
 ) -> DataFrame:
     """`df` with `predicted_category`, `confidence` and, if asked, `probabilities`.
 
-    All other columns pass through in their order. A null text gives null results, or fails the
+    All other columns pass through, and a column with the name of a result is replaced where it
+    stands. A null text gives null results, or fails the
     job with `on_null='fail'`. One pass of the forest yields all columns; there is no shuffle, so
     the call works on a stream as it does on a table.
     """
     if on_null not in ("keep", "fail"):
         raise ValueError("on_null must be 'keep' or 'fail'")
     results = ("predicted_category", "confidence") + (("probabilities",) if probabilities else ())
-    kept = [c for c in df.columns if c not in results]
-    text = F.col(text_col)
+    kept = [quoted(c) for c in df.columns if c not in results]
+    text = quoted(text_col) if text_col in df.columns else F.col(text_col)
     if on_null == "fail":
         text = F.coalesce(text, F.raise_error(F.lit(f"null in column {text_col}")))
     source = df.select(*kept, text.alias(TEXT))
     known = F.col(TEXT).isNotNull()
     odds = vector_to_array(F.col(PROBABILITY))
-    columns = [
-        F.when(known, F.col(PREDICTED)).alias("predicted_category"),
-        F.when(known, F.array_max(odds)).alias("confidence"),
-    ]
+    columns = {"predicted_category": F.col(PREDICTED), "confidence": F.array_max(odds)}
     if probabilities:
-        by_class = F.map_from_arrays(F.lit(classes_of(model)), odds)
-        columns.append(F.when(known, by_class).alias("probabilities"))
-    return model.transform(source).select(*kept, *columns)
+        columns["probabilities"] = F.map_from_arrays(F.lit(classes_of(model)), odds)
+    columns = {name: F.when(known, value).alias(name) for name, value in columns.items()}
+    placed = [columns.pop(c) if c in columns else quoted(c) for c in df.columns]
+    return model.transform(source).select(*placed, *columns.values())
 
 
 def predict(spark: SparkSession, model: PipelineModel, text: str) -> dict:

@@ -30,8 +30,10 @@ from ..operators import features as f
 from ..operators import metrics
 from ..operators.split import stratified_split
 from ..operators.vocabulary import build_vocabulary
+from ..sources.bundle import save_model
 from ..sources.csv import require_columns
 from ..sources.shared import Scratch
+from ..sources.store import append_model
 
 MODEL_TYPE = "Random Forest"
 FRAMEWORK = "Spark ML"
@@ -51,6 +53,8 @@ class ForestParams:
     cluster it is fitted on. `max_bins` bounds the candidate thresholds of a term.
     `max_memory_mb` bounds, per task, the statistics of the tree nodes that one pass over the
     rows splits together: more memory, fewer passes.
+    `max_fit_rows` bounds the labelled rows that the forest is fitted on, drawn with exact shares of
+    the classes; vocabulary and evaluation see all rows. There is no bound by default.
     """
 
     num_trees: int = NUM_TREES
@@ -65,6 +69,7 @@ class ForestParams:
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS
     fit_partitions: int | None = None
     max_memory_mb: int = 256
+    max_fit_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -121,11 +126,12 @@ def train(
         )
         progress("training the forest")
         to_vectors = f.vector_stages(vocabulary)
-        labelled = f.label_indexer(split.classes, label_col).transform(train_words)
+        fit_words, n_fit = train_words, split.n_train
+        if params.max_fit_rows and n_fit > params.max_fit_rows:
+            fit_words, n_fit = _drawn(train_words, id_col, label_col, params)
+        labelled = f.label_indexer(split.classes, label_col).transform(fit_words)
         vectors = PipelineModel(to_vectors).transform(labelled)
-        partitions = params.fit_partitions or fit_partitions(
-            split.n_train, len(vocabulary.terms)
-        )
+        partitions = params.fit_partitions or fit_partitions(n_fit, len(vocabulary.terms))
         forest = fit_forest(vectors, id_col, params, partitions)
         to_label = IndexToString(inputCol=f.INDEX, outputCol=f.PREDICTED, labels=split.classes)
         model = PipelineModel([f.token_stage(params.stop_words), *to_vectors, forest, to_label])
@@ -143,10 +149,32 @@ def train(
         categories=categories,
         training_time=time.monotonic() - started,
     )
+    metadata |= {"n_fit": n_fit, "n_nodes": forest.totalNumNodes, "fit_partitions": partitions}
     progress("done")
     return TrainedModel(model, metadata, counts)
 
 
+def train_and_register(
+    articles: DataFrame, id_col: str, models: str, name: str, registry: str, **settings
+) -> TrainedModel:
+    """Train, store the model under its name and append the run to the registry."""
+    trained = train(articles, id_col, **settings)
+    save_model(articles.sparkSession, trained.model, trained.metadata, models, name)
+    append_model(articles.sparkSession, registry, trained.metadata)
+    return trained
+
+
+def _drawn(rows: DataFrame, id_col: str, label_col: str, params: ForestParams):
+    """The rows to fit on where their number has a bound, and how many they are."""
+    drawn = stratified_split(
+        rows.drop("split"), id_col, label_col, seed=params.seed, n_train=params.max_fit_rows
+    )
+    none = sorted(label for label, n in drawn.train_quotas.items() if not n)
+    if none:
+        raise ValueError(f"max_fit_rows leaves no row of {', '.join(none)}")
+    return drawn.rows.where("split = 'train'"), drawn.n_train
+
+
 def fit_partitions(n_rows: int, n_terms: int) -> int:
     """Partitions for the fit, from the data alone: a few, more once one would be over 1 GB."""
     return max(FIT_PARTITIONS, -(-n_rows * n_terms * 4 // 2**30))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import quoted
 from ..operators.metrics import confusion_counts, run_metrics
 
 
@@ -100,5 +101,11 @@ def rounded(df: DataFrame, columns: Sequence[str], places: int = 6) -> DataFrame
     """Doubles cut to comparable digits; sums of floats depend on their order."""
     names = set(columns)
     return df.select(
-        *[F.round(c, places).alias(c) if c in names else F.col(c) for c in df.columns]
+        *[F.round(quoted(c), places).alias(c) if c in names else quoted(c) for c in df.columns]
     )
+
+
+def ranked(ordered: DataFrame) -> DataFrame:
+    """Adds the place of each row of a short, ordered report, so that its order can be compared."""
+    at = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn("rank", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import ARTICLE_COLUMNS, TEXT_COLUMN
-from ..functions.text import null_if_na
+from ..functions.text import null_if_na, quoted
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -38,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
-    return raw.select(*[null_if_na(_quoted(name)).alias(name) for name in raw.columns])
+    return raw.select(*[null_if_na(quoted(name)).alias(name) for name in raw.columns])
 
 
 def read_labelled_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -78,7 +78,3 @@ def shape(df: DataFrame) -> DataFrame:
 def preview(df: DataFrame, order_by: str, n: int = 10) -> DataFrame:
     """The first rows by a key, since a distributed table has no order of its own."""
     return df.orderBy(order_by).limit(n)
-
-
-def _quoted(name: str):
-    return F.col("`" + name.replace("`", "``") + "`")

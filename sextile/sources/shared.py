@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A side of a join is broadcast only if it was counted and is no longer than this.
 BROADCAST_ROWS = 200_000
+# The same for the bytes of its strings.
+BROADCAST_BYTES = 64 << 20
 
 
 _local_dirs: dict[str, str] = {}
@@ -28,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def file_system(spark: SparkSession, path: str):
+    """A path as Hadoop knows it, and the file system it is on."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    folder, files = file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -60,10 +74,8 @@ class Scratch:
         return _written(df, self.path(name))
 
     def __exit__(self, *error) -> None:
-        hadoop = self._spark._jvm.org.apache.hadoop.fs
         for path in self._paths:
-            folder = hadoop.Path(path)
-            files = folder.getFileSystem(self._spark._jsc.hadoopConfiguration())
+            folder, files = file_system(self._spark, path)
             files.delete(folder, True)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import log_text
+from ..functions.times import instant, utc_date
+from .shared import children
 
 LOG_SCHEMA = T.StructType(
     [
@@ -63,10 +65,10 @@ def log_rows(
     """Rows in the shape of the log: text cut for storage, version defaulted, UTC day.
 
     The key is the caller's, since a running number would need one task. Without `timestamp_col`
-    a row carries the time of the query. A row without text or category fails the job, as both
+    a row carries the time of the query; a time without a zone is one in UTC. A row without text or category fails the job, as both
     columns of the log are required.
     """
-    stamp = F.col(timestamp_col).cast("timestamp") if timestamp_col else F.current_timestamp()
+    stamp = instant(scored, timestamp_col) if timestamp_col else F.current_timestamp()
     return scored.select(
         F.col(id_col).cast("long").alias("id"),
         _required(log_text(text_col), "text").alias("text"),
@@ -103,13 +105,31 @@ def stream_folder(path: str, checkpoint: str) -> str:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The rows of all writers: batches in the log's own folder, and each stream in its own."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    streams = jvm.Path(f"{path}/{STREAMS}")
-    files = streams.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.listStatus(streams) if files.exists(streams) else []
-    folders = [path, *(f"{path}/{STREAMS}/{s.getPath().getName()}" for s in found)]
     reader = spark.read.schema(LOG_SCHEMA)
-    return reduce(DataFrame.union, [reader.parquet(folder) for folder in folders])
+    return reduce(DataFrame.union, [reader.parquet(folder) for folder in _folders(spark, path)])
+
+
+def log_days(spark: SparkSession, path: str) -> list[date]:
+    """The days that the log has partitions of, newest first, from the names of folders alone."""
+    names = {name for folder in _folders(spark, path) for name in children(spark, folder)}
+    days = {name.removeprefix("date=") for name in names if name.startswith("date=")}
+    return sorted((date.fromisoformat(d) for d in days if d[:1].isdigit()), reverse=True)
+
+
+def read_recent_log(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The newest days of the log that together hold `n` rows; files of older days stay closed."""
+    log, days, taken = read_log(spark, path), log_days(spark, path), 1
+    while taken < len(days):
+        recent = log.where(F.col("date") >= F.lit(days[taken - 1]))
+        if recent.limit(n).count() >= n:
+            return recent
+        taken *= 2
+    return log
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    streams = sorted(children(spark, f"{path}/{STREAMS}"))
+    return [path, *(f"{path}/{STREAMS}/{name}" for name in streams)]
 
 
 def append_model(spark: SparkSession, path: str, metadata: dict) -> int:
@@ -153,8 +173,3 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def _required(column: Column, name: str) -> Column:
     # Not a filter: that would be pushed below the model and run it twice.
     return F.coalesce(column, F.raise_error(F.lit(f"a log row has no {name}")))
-
-
-def utc_date(timestamp: str):
-    """The UTC day of an instant, whatever the session time zone."""
-    return F.to_date(F.to_utc_timestamp(timestamp, F.current_timezone()))

@@ -7,6 +7,8 @@ Each job takes a streaming frame and starts a query that is restarted from its c
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +16,29 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.constants import TEXT_COLUMN
+from ..functions.times import instant, utc_date
 from ..plans.scoring import scored_log_rows
-from ..sources.store import stream_folder, utc_date
+from ..sources.shared import children, file_system
+from ..sources.store import stream_folder
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: str | None = None,
 ) -> DataFrame:
-    """A stream of parquet files; `path` may be a folder or a glob."""
+    """A stream of parquet files; `path` may be a folder or a glob.
+
+    A backlog is worked off in micro-batches of so many files or bytes ("10g"), each of them
+    committed; without a bound it is one.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.parquet(path)
 
 
@@ -62,7 +76,7 @@ def daily_figures(stream: DataFrame, delay: str | None = None) -> DataFrame:
     The state is one row per category and day, and every late row counts. With `delay`, days older
     than the watermark leave the state, and rows that come later than that are dropped.
     """
-    timed = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    timed = stream.withColumn("timestamp", instant(stream, "timestamp"))
     if delay:
         timed = timed.withWatermark("timestamp", delay)
     return (
@@ -81,15 +95,31 @@ def stream_daily_stats(
     delay: str | None = None,
     available_now: bool = False,
     every: str | None = None,
+    compact_every: int = 100,
 ) -> StreamingQuery:
     """Keep the daily figures of a streamed log up to date.
 
     Every micro-batch writes only the figures that changed, under its own number, so that a
-    repeated batch replaces itself. `read_daily_stats` gives the current state.
+    repeated batch replaces itself; one in `compact_every` writes them all, and what is older than
+    the one before goes. `read_daily_stats` gives the current state. The folder belongs to one
+    checkpoint, as another one's batches would count from 0 again.
     """
+    _own(stream.sparkSession, path, checkpoint)
 
     def write_changes(changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        whole = batch_id > 0 and batch_id % compact_every == 0
+        if whole:
+            earlier = _written_figures(spark, path).where(F.col("batch_id") < batch_id)
+            now = changed.withColumn("batch_id", F.lit(batch_id).cast("long"))
+            changed = _latest(earlier.unionByName(now)).coalesce(1)
         changed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if whole:
+            for name in children(spark, path):
+                # The whole figures before these were committed long ago and cover what goes.
+                if name.startswith("batch_id=") and int(name[9:]) < batch_id - compact_every:
+                    folder, files = file_system(spark, f"{path}/{name}")
+                    files.delete(folder, True)
 
     figures = daily_figures(stream, delay)
     writer = (
@@ -101,18 +131,36 @@ def stream_daily_stats(
 
 
 def read_daily_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The last written figure of every category and day."""
+    """The last written figure of every category and day; none before the first."""
+    return _latest(_written_figures(spark, path))
+
+
+def _written_figures(spark: SparkSession, path: str) -> DataFrame:
     schema = "predicted_category string, count long, avg_confidence double, date date, batch_id long"
+    if not any(name.startswith("batch_id=") for name in children(spark, path)):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _latest(figures: DataFrame) -> DataFrame:
     latest = F.max_by(F.struct("count", "avg_confidence"), "batch_id").alias("_last")
     return (
-        spark.read.schema(schema)
-        .parquet(path)
-        .groupBy("predicted_category", "date")
+        figures.groupBy("predicted_category", "date")
         .agg(latest)
         .select("predicted_category", "_last.count", "_last.avg_confidence", "date")
     )
 
 
+def _own(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Claim a folder of figures for a checkpoint, or fail if it is another's."""
+    name = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+    owners = children(spark, f"{path}/_owner")
+    if owners and name not in owners:
+        raise ValueError(f"{path} holds the figures of another checkpoint than {checkpoint}")
+    folder, files = file_system(spark, f"{path}/_owner/{name}")
+    files.mkdirs(folder)
+
+
 def _start(writer: DataStreamWriter, available_now: bool, every: str | None) -> StreamingQuery:
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextile.operators import analytics as a
 from sextile.operators import registry
+from sextile.plans import rollup
 from sextile.sources import store
 
 LOG = "id long, text string, predicted_category string, confidence double, timestamp timestamp_ntz"
@@ -177,3 +178,49 @@ def test_sql_over_both_tables(spark, folder):
     assert [r.text for r in latest.collect()][:2] == ["v", "u"]
     active = spark.sql("SELECT model_name, accuracy FROM model_metadata WHERE is_active")
     assert [tuple(r) for r in active.collect()] == [("Random Forest", 0.9)]
+
+
+def test_utc_days_in_any_zone(spark, folder):
+    """Days of the figures are UTC days, and zoneless times are UTC, wherever the session is."""
+    rows = [(1, "2024-01-02 01:00:00"), (2, "2024-01-02 23:30:00"), (3, "2024-01-03 00:10:00")]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        frame = spark.createDataFrame(rows, "id long, at string").selectExpr(
+            "id", "'t' AS text", "'Legal' AS predicted_category", "0.5D AS confidence",
+            "to_timestamp_ntz(at) AS timestamp",
+        )
+        want = {("2024-01-02", 2), ("2024-01-03", 1)}
+        logged = store.log_rows(frame, "id", timestamp_col="timestamp")
+        for each in (frame, logged.drop("date"), logged):
+            got = a.daily_rollup(each).selectExpr("cast(date AS string) AS d", "count").collect()
+            assert {tuple(r) for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_recent_days_and_rollup_read_only_their_partitions(spark, folder):
+    path, _ = store.create_tables(spark, folder)
+    assert store.log_days(spark, path) == []
+    assert store.read_recent_log(spark, path, 5).count() == 0
+    frame = spark.range(60).selectExpr(
+        "id", "'t' AS text", "'Legal' AS predicted_category", "0.5D AS confidence",
+        "timestamp_ntz '2024-01-01 12:00:00' + make_interval(0, 0, 0, cast(id % 12 AS int)) AS timestamp",
+    )
+    rows = store.log_rows(frame, "id", timestamp_col="timestamp")
+    store.append_predictions(rows, path, many_days=True)
+    days = store.log_days(spark, path)
+    assert [str(d) for d in (days[0], days[-1])] == ["2024-01-12", "2024-01-01"] and len(days) == 12
+    recent = store.read_recent_log(spark, path, 8)
+    assert len(recent.inputFiles()) >= 1
+    assert {r.date for r in recent.select("date").distinct().collect()} == set(days[:2])
+    log = store.read_log(spark, path)
+    assert a.recent_predictions(recent, 8).collect() == a.recent_predictions(log, 8).collect()
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    rollup.update_rollup(log, f"{folder}/rollup")
+    rollup.update_rollup(log, f"{folder}/rollup", days[:1])
+    rollup.update_rollup(log, f"{folder}/rollup", [])
+    got = rollup.read_rollup(spark, f"{folder}/rollup")
+    assert {(r.date, r["count"]) for r in got.collect()} == {(d, 5) for d in days}
+    assert a.between(got, days[3], days[1]).count() == 3

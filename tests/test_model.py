@@ -1,6 +1,7 @@
 """Training, storing and scoring."""
 
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def test_score(spark, trained):
 def test_score_replaces_old_results_and_reads_other_columns(spark, trained):
     frame = spark.createDataFrame([("x", 1, "Senate vote tag")], "confidence string, k int, body string")
     scored = score(trained.model, frame, text_col="body")
-    assert scored.columns == ["k", "body", "predicted_category", "confidence"]
+    assert scored.columns == ["confidence", "k", "body", "predicted_category"]
     assert scored.first().predicted_category == "Political"
 
 
@@ -189,3 +190,22 @@ def test_the_forest_runs_once_per_row(spark, trained, folder):
     rows = scoring.scored_log_rows(trained.model, texts, "k")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("_sx_raw#") and plan.count("UDF(UDF(UDF(UDF(") == 1
+
+
+def test_bound_on_the_rows_of_the_fit(spark, trained):
+    bounded = replace(TINY, max_fit_rows=20)
+    got = training.train(articles(spark), "id", params=bounded).metadata
+    assert got["n_fit"] == 20 and got["n_nodes"] > 0
+    for key in ("n_samples", "n_train", "n_test"):
+        assert got[key] == trained.metadata[key]
+    assert trained.metadata["n_fit"] == trained.metadata["n_train"]
+    with pytest.raises(ValueError, match="max_fit_rows"):
+        training.train(articles(spark), "id", params=replace(TINY, max_fit_rows=1))
+
+
+def test_names_with_dots_and_results_in_place(spark, trained):
+    frame = spark.createDataFrame([("x", 1, "old", "a text")], ["confidence", "a.b", "c d`e", "text"])
+    scored = scoring.score(trained.model, frame)
+    assert scored.columns == ["confidence", "a.b", "c d`e", "text", "predicted_category"]
+    row = scored.first()
+    assert isinstance(row[0], float) and row[1:4] == (1, "old", "a text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextile.operators import analytics
 from sextile.plans import queries, scoring, views
-from sextile.sources import store
+from sextile.sources import shared, store
 from sextile.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -156,3 +156,24 @@ def test_writers_of_one_log_do_not_hide_each_other(spark, folder):
     store.append_predictions(rows(40, 2), log)
     got = sorted(r.id for r in store.read_log(spark, log).collect())
     assert got == [0, 1, 2, *range(10, 14), *range(20, 24), *range(30, 34), 40, 41]
+
+
+def test_figures_are_compacted_and_belong_to_one_checkpoint(spark, folder):
+    day = datetime(2024, 3, 1)
+    schema = None
+    for i in range(7):
+        rows = [(i, "Legal", 0.5, day + timedelta(days=i)), (100 + i, "Social", 0.1, day)]
+        schema = log_files(spark, f"{folder}/in", [rows])
+    stream = jobs.read_stream(spark, f"{folder}/in", schema, files_per_trigger=1)
+    assert jobs.read_daily_stats(spark, f"{folder}/out").count() == 0
+    jobs.stream_daily_stats(
+        stream, f"{folder}/out", f"{folder}/cp", available_now=True, compact_every=2
+    ).awaitTermination()
+    got = {(r.predicted_category, str(r.date)): r["count"] for r in
+           jobs.read_daily_stats(spark, f"{folder}/out").collect()}
+    want = {("Legal", f"2024-03-0{i + 1}"): 1 for i in range(7)} | {("Social", "2024-03-01"): 7}
+    assert got == want
+    kept = sorted(n for n in shared.children(spark, f"{folder}/out") if n.startswith("batch_id="))
+    assert kept == ["batch_id=4", "batch_id=5", "batch_id=6"]
+    with pytest.raises(ValueError, match="another checkpoint"):
+        jobs.stream_daily_stats(stream, f"{folder}/out", f"{folder}/cp2", available_now=True)
