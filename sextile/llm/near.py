@@ -32,7 +32,8 @@ class NearParams:
     percent: int = 80
     permutations: int = 64
     band: int = 5
-    # A block of a large cluster has at most so many documents, and shingles unless it is one text.
+    # A block of a large cluster has about so many documents at most, and shingles unless it is one
+    # text. Rows are dealt by hash, so blocks differ by chance.
     block_rows: int = 1000
     block_shingles: int = 1 << 20
 
@@ -195,9 +196,11 @@ def near_duplicates(
 
     Documents with equal sets are one class from the start and only its smallest id goes on. Classes
     that share a band key form clusters. Every class's set is fetched once for its cluster, which is
-    dealt into blocks of bounded size. Links are first looked for within each block; then members
-    that are not in the main part of their cluster also visit all other blocks of it. No pairs are
-    shipped or kept, and none is left out.
+    dealt into blocks of bounded size by hash. Links are first looked for in each two blocks that
+    follow each other, which joins the parts of a family across its blocks. Members that are not in
+    the main part of their cluster then are dealt into chunks of the same bound, and each chunk meets
+    each block in a group of its own, so no group holds more than two blocks. No pairs are shipped or
+    kept, and none is left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
         "doc_id is not null"
@@ -231,16 +234,19 @@ def near_duplicates(
     )
 
 
+def _room(params: NearParams):
+    """How many blocks the rows of a group need."""
+    return F.greatest(
+        F.ceil(F.count("*") / params.block_rows),
+        F.ceil(F.sum("n_shingles") / params.block_shingles),
+    )
+
+
 def _confirmed(texts, members, clusters, params: NearParams, scratch: Scratch) -> DataFrame:
     """Links that join up whatever is linked within a cluster."""
-    sized = members.where("keys is not null").select(F.col("doc_id").alias("node"), "n_shingles")
-    clustered = scratch.table(clusters.join(sized.distinct(), "node"), "clustered")
-    room = clustered.groupBy("root").agg(
-        F.greatest(
-            F.ceil(F.count("*") / params.block_rows),
-            F.ceil(F.sum("n_shingles") / params.block_shingles),
-        ).alias("blocks")
-    )
+    sized = members.where("keys is not null").select(F.col("doc_id").alias("node"), "n_shingles").distinct()
+    clustered = scratch.table(clusters.join(sized, "node"), "clustered")
+    room = clustered.groupBy("root").agg(_room(params).alias("blocks"))
     dealt = clustered.join(room, "root").select(
         F.col("node").alias("doc_id"),
         F.col("root").alias("cluster"),
@@ -253,31 +259,38 @@ def _confirmed(texts, members, clusters, params: NearParams, scratch: Scratch) -
     sets = wanted.mapInArrow(_set_rows(params), "doc_id long, shingles binary")
     held = scratch.table(dealt.join(sets, "doc_id"), "sets")
     link = _linked(params)
+    # Block i meets block i + 1, around the circle; up to three blocks have all met then.
+    turns = F.expr(
+        "case when blocks < 3 then array(0L) else array(block, pmod(block + 1, blocks)) end"
+    )
+    near_by = held.select("cluster", F.explode(turns).alias("turn"), "doc_id", "shingles")
     inside = scratch.table(
-        held.groupBy("cluster", "block").applyInArrow(link, "u long, v long"), "inside"
+        near_by.groupBy("cluster", "turn").applyInArrow(link, "u long, v long"), "inside"
     )
-    split = held.where("blocks > 1")
+    split = held.where("blocks > 3")
     if not split.take(1):
         return inside
-    roots = components(inside, scratch)
-    parts = split.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "root", F.coalesce("root", "doc_id")
-    )
-    parts = scratch.table(parts, "parts")
+    roots = components(inside, scratch).withColumnRenamed("node", "doc_id")
+    light = split.select("cluster", "blocks", "block", "doc_id").join(roots, "doc_id", "left")
+    parts = scratch.table(light.withColumn("root", F.coalesce("root", "doc_id")), "parts")
     main = (
         parts.groupBy("cluster", "root").count()
         .groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("most"))
         .select("cluster", F.col("most.root").alias("main"))
     )
-    visits = parts.join(main, "cluster").select(
-        "cluster",
-        "doc_id",
-        "shingles",
-        F.explode(
-            F.when(F.col("root") == F.col("main"), F.array("block")).otherwise(
-                F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-            )
-        ).alias("block"),
+    others = parts.join(main, "cluster").where("root <> main").select("cluster", "blocks", "doc_id")
+    others = scratch.table(others.join(sized.withColumnRenamed("node", "doc_id"), "doc_id"), "others")
+    rooms = others.groupBy("cluster").agg(_room(params).alias("chunks"))
+    visitors = others.join(rooms, "cluster").selectExpr(
+        "cluster", "blocks", "doc_id", "pmod(xxhash64(doc_id, 1), chunks) as chunk"
+    )
+    # A chunk of members outside the main part meets each block in a group of its own.
+    guests = split.select("doc_id", "block", "shingles").join(visitors, "doc_id").selectExpr(
+        "cluster", "explode(sequence(0L, blocks - 1)) as at", "chunk", "doc_id", "shingles", "block"
+    )
+    hosts = split.join(rooms, "cluster").selectExpr(
+        "cluster", "block as at", "explode(sequence(0L, chunks - 1)) as chunk", "doc_id", "shingles"
     )
-    across = visits.groupBy("cluster", "block").applyInArrow(link, "u long, v long")
+    met = guests.where("block <> at").drop("block").unionByName(hosts)
+    across = met.groupBy("cluster", "at", "chunk").applyInArrow(link, "u long, v long")
     return scratch.table(inside.union(across), "confirmed")
