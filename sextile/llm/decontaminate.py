@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +17,12 @@ from .words import Words, sequences, slices
 
 @dataclass(frozen=True)
 class LeakParams:
-    """Seeds, scores of the alignment, and the share of an item's best score that counts as a leak."""
+    """Seeds, scores of the alignment, and what counts as a leak.
+
+    An alignment is a leak if its score is worth `least_words` matching words, however long the item
+    is. A smaller one is a leak if it is the whole item, or if it has the `share` of the item's best
+    score and chance makes its words occur together at `chance` of all places at most.
+    """
 
     seed_words: int = 3
     # A seed is rare if chance makes it begin at this share of all words at most. An item has its
@@ -27,6 +33,10 @@ class LeakParams:
     mismatch: int = 1
     gap: int = 1
     share: float = 0.5
+    least_words: int = 13
+    chance: float = 1e-10
+    # Every run of so many words of an item has a seed, rare or not.
+    window_words: int = 8
     # Text of the benchmark items that are looked for in one pass over the documents.
     block_bytes: int = 8 << 20
 
@@ -40,6 +50,8 @@ class _Seeds:
     place: np.ndarray
     words: list[np.ndarray]
     ids: list
+    # The logarithm of each word's share of all words, item by item.
+    chance: list[np.ndarray]
 
 
 def _counted(vocabulary: np.ndarray):
@@ -78,25 +90,54 @@ def _rare_seeds(texts: DataFrame, items: list, p: LeakParams) -> _Seeds | None:
         else:
             counts[row["word"]] = row["n"]
     chance = np.log(np.maximum(counts, 1) / total)[np.searchsorted(vocabulary, hashes)]
-    key, item, place, listed, ids = [], [], [], [], []
+    key, item, place, listed, ids, chances = [], [], [], [], [], []
     for i, row in enumerate(items):
         own = hashes[words.first[i] : words.first[i + 1]]
         k = min(p.seed_words, len(own))
         if not k:
             continue
-        likely = np.convolve(chance[words.first[i] : words.first[i + 1]], np.ones(k), "valid")
+        own_chance = chance[words.first[i] : words.first[i + 1]]
+        likely = np.convolve(own_chance, np.ones(k), "valid")
         order = np.argsort(likely, kind="stable")
         use = order[(np.arange(len(order)) < p.least_seeds) | (likely[order] <= np.log(p.rare))]
+        use = np.union1d(use, _rarest(likely, p.window_words - k + 1))
         key.append(sequences(own, k)[use])
         place.append(use)
         item.append(np.full(len(use), len(ids)))
         listed.append(own)
+        chances.append(own_chance)
         ids.append(row["item_id"])
     if not ids:
         return None
     key, item, place = map(np.concatenate, (key, item, place))
     order = np.argsort(key, kind="stable")
-    return _Seeds(key[order], item[order], place[order], listed, ids)
+    return _Seeds(key[order], item[order], place[order], listed, ids, chances)
+
+
+def _rarest(likely: np.ndarray, window: int) -> np.ndarray:
+    """The place of the smallest value of each window, the first of equal ones."""
+    if len(likely) <= window:
+        return np.array([likely.argmin()])
+    windows = np.lib.stride_tricks.sliding_window_view(likely, window)
+    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+
+
+def _improbable(query: np.ndarray, chance: np.ndarray, stretch: np.ndarray) -> float:
+    """The logarithm of the chance of the query's words that the stretch has, each as often at most."""
+    left = Counter(stretch.tolist())
+    total = 0.0
+    for word, log in zip(query.tolist(), chance.tolist()):
+        if left[word] > 0:
+            left[word] -= 1
+            total += log
+    return total
+
+
+def _is_leak(score: int, query: np.ndarray, chance: np.ndarray, stretch: np.ndarray, p: LeakParams):
+    full = p.match * len(query)
+    if score >= p.match * p.least_words or score == full:
+        return True
+    return score >= p.share * full and _improbable(query, chance, stretch) <= np.log(p.chance)
 
 
 def align(item: np.ndarray, region: np.ndarray, p: LeakParams = LeakParams()) -> tuple[int, int, int]:
@@ -166,7 +207,8 @@ def _leak_rows(seeds: _Seeds, p: LeakParams):
                     score, x, y = align(query, own[a:b], p)
                     best = max(best, (score, a + x, a + y), key=lambda z: z[0])
                 share = best[0] / (p.match * len(query))
-                if share >= p.share:
+                stretch = own[best[1] : best[2]]
+                if _is_leak(best[0], query, seeds.chance[item], stretch, p):
                     row = (batch.column(0)[doc].as_py(), seeds.ids[item], share, best[1], best[2])
                     for name, value in zip(_LEAK.names, row):
                         out[name].append(value)
@@ -188,16 +230,19 @@ def leaks(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document and benchmark item whose alignment has enough of the item's best score.
+    """One row per document and benchmark item whose alignment is long enough, or most of the item.
 
     Columns: `doc_id`, `item_id`, `score` (share of the best possible one), and the words of the
-    document from `start_word` to before `end_word` that align. A-Z count as a-z. Null or empty texts
+    document from `start_word` to before `end_word` that align. An alignment worth 13 matching words
+    counts whatever the item's length; a smaller one if it is the whole item, or has half of its best
+    score with words that rarely occur together by chance. A-Z count as a-z. Null or empty texts
     on either side give no rows, nor do items or documents that are missing; equal items are found
     each. Repeated rows count once, rows without an id are left out; other columns are not read.
 
     The items are the stated query set, in blocks of bounded size by id; each block is sent to all
     documents. A first pass counts the items' own words in the whole corpus, and an item's seeds are
-    the runs of words that are least likely by those counts. The alignment is limited to stretches
+    the runs of words that are least likely by those counts, with one in any eight words, so that
+    no part of a long item is without. The alignment is limited to stretches
     around seeds and looks at every one of them.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
