@@ -226,14 +226,19 @@ def pack(
         )
         .drop("count")
     )
-    within = Window.partitionBy("class", "part").orderBy("doc_id", "start")
+    within = Window.partitionBy("class", "part").orderBy("doc_id", "start", "piece")
     ranked = dealt.withColumn("within", F.row_number().over(within) - 1).join(
         before, ["class", "part"]
     )
     placed = ranked.withColumn(
         "sequence_id", sequence("class", F.col("before") + F.col("within"))
     )
-    filled = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start")
+    # Pieces of repeated rows differ by their number alone, and each has a place of its own.
+    filled = (
+        Window.partitionBy("sequence_id")
+        .orderBy(F.desc("length"), "doc_id", "start", "piece")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     placed = placed.withColumn("offset", F.sum("length").over(filled) - F.col("length"))
     # The ids are moved once, when their places are known.
     ids = pieces.select("piece", "ids")
