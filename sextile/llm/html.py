@@ -32,6 +32,8 @@ APART_NAMES = set(
     " sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 HEADERS = {"header", "masthead"}
+# What can hold a whole article.
+CONTAINERS = set("article center div main section td".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,9 +49,13 @@ _PARTS = re.compile(r"[a-z]+")
 
 @dataclass(frozen=True)
 class HtmlParams:
-    """Labelled pages that weights are learned from at most, and the weights if there are none."""
+    """Labelled pages that weights are learned from at most, and the weights if there are none.
+
+    `prior` tags a word are added on both sides of a comparison, whatever the sample's size.
+    """
 
     labelled_pages: int = 4000
+    prior: float = 0.02
     word: float = 1.0
     link_word: float = 0.1
     tag: float = -1.0
@@ -85,12 +91,15 @@ def _is_apart(name: str, inside: str, in_article: bool) -> bool:
     return False
 
 
-def pieces(page: str, whole: bool = False) -> Iterator[tuple[str, str, bool]]:
+def pieces(page: str, whole: bool = False, held: list | None = None) -> Iterator[tuple[str, str, bool]]:
     """What a page shows apart from menus and the like: texts, tags and ends of blocks.
 
     Yields (kind, text or tag name, whether in an article): kind is `word`, `link word`, `tag` or
-    `break`. With `whole`, menus and the like come too, as outside of any article.
+    `break`. With `whole`, menus and the like come too, as outside of any article. `held`, if given,
+    always has the containers that are open, as (number, name).
     """
+    held = [] if held is None else held
+    number = 0
     stack: list[tuple[str, bool]] = []
     open_ = Counter()
     apart = links = articles = 0
@@ -111,6 +120,9 @@ def pieces(page: str, whole: bool = False) -> Iterator[tuple[str, str, bool]]:
                 apart += gone
                 links += what == "a"
                 articles += what in ("article", "main")
+                if what in CONTAINERS:
+                    number += 1
+                    held.append((number, what))
             if whole or not apart:
                 yield "tag", what, articles > 0 and not apart
         elif open_[what]:
@@ -120,6 +132,8 @@ def pieces(page: str, whole: bool = False) -> Iterator[tuple[str, str, bool]]:
                 apart -= gone
                 links -= name == "a"
                 articles -= name in ("article", "main")
+                if name in CONTAINERS:
+                    held.pop()
                 if name == what:
                     break
             if whole or not apart:
@@ -160,8 +174,10 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn(pages: DataFrame, params: HtmlParams = HtmlParams(), id_col: str = "page_id") -> dict:
     """Weights from pages that mark their article, on a sample by id of bounded expected size.
 
-    A weight is the log odds of standing in the article. Words count for and tags against, so the
-    sign is kept even where the sample has it otherwise. Without labelled pages there are defaults.
+    A weight is the log of how many tags (or link words) a word there are in articles, by that
+    elsewhere. Words count for and tags against, so the sign is kept even where the sample has it
+    otherwise. A tag that no article of the sample has may be in the next, so none counts more than a
+    word. Without labelled pages there are defaults.
     """
     total = pages.count()
     every = max(1, -(-total // params.labelled_pages))
@@ -175,29 +191,55 @@ def learn(pages: DataFrame, params: HtmlParams = HtmlParams(), id_col: str = "pa
     default = {"word": params.word, "link word": params.link_word, "inline": params.tag}
     weights = default | {name: params.tag for name in (*BLOCKS, "a")}
     n = {(r["what"], r["content"]): r["n"] for r in rows}
-    within = sum(v for (_, c), v in n.items() if c)
-    outside = sum(v for (_, c), v in n.items() if not c)
+    within, outside = (
+        sum(v for (w, c), v in n.items() if c == side and w.endswith("word")) for side in (True, False)
+    )
     if within and outside:
         for what in weights:
             a, b = n.get((what, True), 0), n.get((what, False), 0)
             if a + b:
-                odds = np.log((a + 1) / (within + 2)) - np.log((b + 1) / (outside + 2))
+                odds = np.log(a / within + params.prior) - np.log(b / outside + params.prior)
                 sign = 1 if what.endswith("word") else -1
                 weights[what] = float(sign * max(0.05, sign * odds))
+        most = weights["word"]
+        for what in weights:
+            weights[what] = min(max(weights[what], -most), most)
     return weights
 
 
+def _container(texts: list[str], paths: list[tuple]) -> tuple:
+    """The innermost article with half of the words, else what holds all of them, from outside in."""
+    sizes = Counter()
+    shared = None
+    for text, path in zip(texts, paths):
+        n = len(text.split())
+        if n:
+            both = path if shared is None else shared
+            same = next((i for i, (x, y) in enumerate(zip(both, path)) if x != y), min(len(both), len(path)))
+            shared = both[:same]
+            for i, (_, name) in enumerate(path):
+                if name in ("article", "main"):
+                    sizes[path[: i + 1]] += n
+    total = sum(len(text.split()) for text in texts)
+    holding = [(path[-1][1] == "article", len(path), path) for path, n in sizes.items() if 2 * n >= total]
+    return max(holding)[2] if holding else shared or ()
+
+
 def main_text(page: str | None, weights: dict) -> str:
-    """The blocks of the run of words and tags with the largest sum of weights.
+    """The blocks of the run of words and tags with the largest sum of weights, and of its container.
 
     Of equal runs the first and longest. A block is kept whole if any of its words is in the run.
+    If half of the run's words are in one article, that whole article is the text; else the rest of
+    the container that holds the whole run comes with it.
     """
     texts: list[str] = []
     block = 0
     best = (0.0, 0, -1)
     total, begin, at = 0.0, 0, 0
     blocks: list[int] = []
-    for kind, what, _ in pieces(page or ""):
+    paths: list[tuple] = []
+    held: list[tuple[int, str]] = []
+    for kind, what, _ in pieces(page or "", held=held):
         if kind == "break":
             block += 1
             continue
@@ -207,6 +249,7 @@ def main_text(page: str | None, weights: dict) -> str:
             value = len(what.split()) * weights[kind]
             texts.append(what)
             blocks.append(block)
+            paths.append(tuple(held))
             at = len(texts)
         if total <= 0:
             total, begin = 0.0, at - (kind != "tag")
@@ -216,10 +259,13 @@ def main_text(page: str | None, weights: dict) -> str:
     if best[2] < 0:
         return ""
     first, last = blocks[best[1]], blocks[best[2] - 1]
+    container = _container(texts[best[1] : best[2]], paths[best[1] : best[2]])
+    alone = bool(container) and container[-1][1] in ("article", "main")
     out: list[list[str]] = []
     before = None
-    for text, b in zip(texts, blocks):
-        if first <= b <= last:
+    for text, b, path in zip(texts, blocks, paths):
+        inside = path[: len(container)] == container if container else not path
+        if inside or (first <= b <= last and not alone):
             if b != before:
                 out.append([])
                 before = b
