@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
+from importlib.resources import files
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,69 @@ LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGE
 FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
 ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
+_TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License", 'The BSD 2-Clause License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "Unlicense": ("The Unlicense",),
+}
+
+
+def _whole_texts() -> Iterator[tuple[str, str]]:
+    """The texts in `licence_texts`, with and without what follows their terms, and with titles."""
+    folder = files(__package__) / "licence_texts"
+    for file in sorted(folder.iterdir(), key=lambda x: x.name):
+        name = file.name.removesuffix(".txt")
+        text = file.read_text("utf-8").strip("\n")
+        texts = [text]
+        if name.startswith("BSD-"):
+            # The clauses are marked by signs or by numbers.
+            numbers = count(1)
+            texts.append(re.sub(r"(?m)^ *\* ", lambda m: f"{next(numbers)}. ", text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            texts += [terms, terms + end]
+        for x in texts:
+            yield name, x
+            for title in _TITLES.get(name, ()):
+                yield name, title + "\n\n" + x
+
+
+def _notices() -> Iterator[tuple[str, str]]:
+    """Notices by which works refer to a licence, by family and version."""
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            for verb in ("Licensed", "Released"):
+                yield f"CC-{kind}-{version}", f"{verb} under CC {kind} {version}."
+            yield f"CC-{kind}-{version}", f"SPDX-License-Identifier: CC-{kind}-{version}"
+    gnu = (
+        ("GPL", "GNU General Public License", ("1", "2", "3")),
+        ("LGPL", "GNU Lesser General Public License", ("2.1", "3")),
+        ("AGPL", "GNU Affero General Public License", ("3",)),
+    )
+    for family, title, versions in gnu:
+        for version in versions:
+            name = f"{family}-{version if '.' in version else version + '.0'}"
+            for start in ("Licensed", "Released", "This work is licensed"):
+                yield name, f"{start} under the {title}, version {version}."
+            for suffix in ("", "-only", "-or-later"):
+                yield name, f"SPDX-License-Identifier: {name}{suffix}"
+    others = (
+        ("BSD-2-Clause", "BSD 2-Clause License"),
+        ("BSD-3-Clause", "BSD 3-Clause License"),
+        ("BSL-1.0", "Boost Software License, Version 1.0"),
+        ("ISC", "ISC License"),
+        ("MPL-2.0", "Mozilla Public License, version 2.0"),
+        ("Unlicense", "Unlicense"),
+    )
+    for name, title in others:
+        yield name, f"Licensed under the {title}."
+        yield name, f"Released under the {title}."
+        yield name, f"SPDX-License-Identifier: {name}"
+    yield "CC0-1.0", "Released under CC0 1.0."
+    yield "CC0-1.0", "SPDX-License-Identifier: CC0-1.0"
+
+
 CATALOGUE = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
@@ -58,13 +125,19 @@ CATALOGUE = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
+    *_whole_texts(),
+    *_notices(),
 )
 
 # What is rewritten, in this order, once a text is in lower case. Line ends stay.
-# Lines that claim copyright go; what is no letter or digit becomes a space; of equivalent
+# Lines that claim copyright, with a sign or a year or its place, go; what is no letter or digit becomes a space; of equivalent
 # spellings the American one stays, also inside longer words.
 RULES = (
-    ("(^|\n)[^a-z0-9\n]*(copyright|©|\\(c\\)|all rights reserved)[^\n]*", "$1"),
+    (
+        "(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(©|\\(c\\)|[0-9]{4}|yyyy|year)|©"
+        "|\\(c\\)[^a-z0-9\n]*(copyright|[0-9]{4}|yyyy|year)|all rights reserved)[^\n]*",
+        "$1",
+    ),
     ("[^a-z0-9\n\\x{c0}-\\x{1fff}\\x{3040}-\\x{10ffff}]+", " "),
     (" *\n *", "\n"),
     ("licenc", "licens"),
@@ -206,4 +279,7 @@ FROM entire e LEFT JOIN known k ON e.digest = k.digest"""
 
 
 def _sql(text: str) -> str:
+    if text.count("\n") > 50:
+        # A long chain of concatenations is too deep an expression.
+        return "replace('" + text.replace("'", "''").replace("\n", "¶") + "', '¶', chr(10))"
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
