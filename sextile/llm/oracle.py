@@ -75,10 +75,83 @@ SELECT r.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id,
   r.doc_id = r.component_id AS kept
 FROM roots r LEFT JOIN sizes s ON r.doc_id = s.doc_id"""
 
+_TERMS = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+
+SEARCH = f"""
+WITH listed AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, {_TERMS}) AS terms FROM documents),
+sized AS (SELECT doc_id, terms, len(terms) AS n FROM listed WHERE len(terms) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sized),
+each AS (SELECT doc_id, n, unnest(terms) AS term FROM sized),
+wanted AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all({_LOWERED}, {_TERMS})) AS term FROM benchmark)
+  GROUP BY item_id, term),
+postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM each
+  WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, whole GROUP BY term, nn),
+scored AS (
+  SELECT q.item_id, p.doc_id,
+    CAST(sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * nn) // ll))))
+      AS BIGINT) AS score
+  FROM wanted q JOIN postings p ON p.term = q.term JOIN weights w ON w.term = q.term, whole
+  GROUP BY q.item_id, p.doc_id),
+placed AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 20"""
+
+LINES = f"""
+WITH listed AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM listed),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    '{_UPPER}', '{_LOWER}') AS key FROM each),
+common AS (
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept_text
+  FROM keyed WHERE key NOT IN (SELECT key FROM common) GROUP BY doc_id)
+SELECT l.doc_id, len(l.lines) AS n_lines, len(l.lines) - coalesce(k.n, 0) AS n_dropped,
+  sha256(coalesce(k.kept_text, '')) AS kept_sha256
+FROM listed l LEFT JOIN kept k ON l.doc_id = k.doc_id"""
+
+NEGATIVES = """
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    unnest(embedding) AS x, unnest(range(len(embedding))) AS i
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND list_count(embedding) = len(embedding) AND isfinite(coalesce(list_sum(embedding), 0))),
+parts AS (
+  SELECT vec_id, label, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM given),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM parts a JOIN parts b ON a.i = b.i WHERE a.vec_id % 50 = 0 GROUP BY ALL),
+positives AS (
+  SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scores
+  WHERE label = own AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER)
+    AS rank
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+WHERE 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3"""
+
 ALL = {
     "op2_repeats": REPEATS,
     "op3_licences": licences.oracle(),
     "op4_warc": WARC,
     "op9_exact": EXACT,
     "op10_near": NEAR,
+    "op11_search": SEARCH,
+    "op12_lines": LINES,
+    "op13_negatives": NEGATIVES,
 }

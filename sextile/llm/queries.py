@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, materialize
-from . import decontaminate, exact, html, langid, licences, near, packing, pii, repeats, warc
+from . import decontaminate, exact, html, langid, licences, lines, near, negatives, packing, pii, repeats
+from . import search, warc
 
 # Which documents a language model may be learned from.
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"
@@ -166,6 +167,31 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return settled(spark, "ranked", lambda s: search.search(docs, items, s))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the lines that ten documents share."""
+    docs = table(spark, sf_dir, "documents")
+
+    def build(scratch: Scratch) -> DataFrame:
+        bitmaps = scratch.table(lines.line_bitmaps(docs, scratch), "bitmaps")
+        return lines.kept_lines(docs, bitmaps, digest=True)
+
+    return settled(spark, "kept-lines", build)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; some labels are shifted by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    anchor = F.col("vec_id") % 50 == 0
+    return settled(spark, "negatives", lambda s: negatives.mine(rows, anchor, s))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -179,5 +205,8 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_leaks,
         op9_exact,
         op10_near,
+        op11_search,
+        op12_lines,
+        op13_negatives,
     )
 }
