@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
+from .joins import join_keys
+from .words import slices
 
 # Bytes of a text that the second step looks at.
 PREFIX_BYTES = 512
@@ -25,7 +27,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
         begin = pc.utf8_slice_codeunits(pc.fill_null(batch.column(1), ""), 0, PREFIX_BYTES)
         prefix = [xxhash.xxh3_64_intdigest(normalised(x)) - (1 << 63) for x in begin.to_pylist()]
@@ -35,7 +37,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         digest = [hashlib.sha256(normalised(x.as_py())).digest() for x in batch.column(1)]
         yield pa.record_batch(
             [batch.column(0), pa.array(digest, pa.binary())], ["doc_id", "sha256"]
@@ -43,8 +45,9 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id` and the SHA-256 of every whole normalised text."""
-    return _texts(docs, id_col, text_col).mapInArrow(_digested, "doc_id long, sha256 binary")
+    """`doc_id` and the SHA-256 of every whole normalised text; repeated rows count once."""
+    hashed = _texts(docs, id_col, text_col).mapInArrow(_digested, "doc_id long, sha256 binary")
+    return hashed.distinct()
 
 
 def exact_groups(
@@ -59,22 +62,19 @@ def exact_groups(
 
     The first pass keeps length and prefix hash only. Lengths that occur once, then pairs of length
     and prefix hash that occur once, settle their documents. The whole text is hashed only for the
-    others: they are few and broadcast as ids, or else joined by id.
+    others: they are few and broadcast as ids, or else joined by id. Groups are counted with partial
+    sums, and their keys are broadcast or salted (`join_keys`), so a frequent length or text is no
+    hot spot.
     """
     texts = _texts(docs, id_col, text_col)
     sizes = scratch.table(
         texts.mapInArrow(_measured, "doc_id long, n_bytes long, prefix long").distinct(), "sizes"
     )
-    same_length = sizes.groupBy("n_bytes").count().where("count > 1").drop("count")
-    same_prefix = (
-        sizes.join(same_length, "n_bytes", "left_semi")
-        .groupBy("n_bytes", "prefix")
-        .count()
-        .where("count > 1")
-        .drop("count")
-    )
+    same_length = _recurring(sizes, ["n_bytes"], scratch)
+    left = join_keys(sizes, same_length, ["n_bytes"], "left_semi")
+    same_prefix = _recurring(left, ["n_bytes", "prefix"], scratch)
     survivors = scratch.table(
-        sizes.join(same_prefix, ["n_bytes", "prefix"], "left_semi"), "survivors"
+        join_keys(sizes, same_prefix, ["n_bytes", "prefix"], "left_semi"), "survivors"
     )
     few = survivors.count() <= BROADCAST_ROWS
     ids = survivors.select("doc_id")
@@ -87,7 +87,8 @@ def exact_groups(
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
     )
-    copies = full.join(groups, "sha256").select("doc_id", "keep_id", "group_size")
+    groups = scratch.table(groups, "groups")
+    copies = join_keys(full, groups, ["sha256"], "inner").select("doc_id", "keep_id", "group_size")
     return (
         sizes.select("doc_id")
         .join(copies, "doc_id", "left")
@@ -99,6 +100,11 @@ def exact_groups(
     )
 
 
+def _recurring(rows: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
+    """Keys with more than one row."""
+    return scratch.table(rows.groupBy(*key).count().where("count > 1").drop("count"), "recurring")
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.where("doc_id is not null")

@@ -15,7 +15,12 @@ from .words import slices
 
 UNKNOWN = "und"
 # Scores of n-grams that one Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+# Vectors that are multiplied at a time: 2 MB of signs, and as doubles eight times that.
+_AT_ONCE = 1024
+# A text is of no learned language if its trigrams agree with the nearest prototype by less than this
+# share of what the language's own do, and by so many standard deviations of chance.
+LEAST_SHARE, DEVIATIONS = 0.25, 4.0
 
 
 @dataclass(frozen=True)
@@ -77,11 +82,15 @@ class Vectors:
 
 @dataclass(frozen=True)
 class Profiles:
-    """Unit prototypes, one row for each learned language."""
+    """Unit prototypes, one row for each learned language.
+
+    `typical` is the mean product of a language's trigrams with its own prototype.
+    """
 
     languages: list[str]
     prototypes: np.ndarray
     params: LanguageParams
+    typical: np.ndarray
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +112,14 @@ def _bundle(params: LanguageParams):
         gram = group.column("gram").to_numpy()
         n = group.column("n").to_numpy().astype(np.float64)
         total = np.zeros(params.dimensions)
-        for low in range(0, len(gram), 4096):
-            total += n[low : low + 4096] @ vectors.of(gram[low : low + 4096])
+        for low in range(0, len(gram), _AT_ONCE):
+            total += n[low : low + _AT_ONCE] @ vectors.of(gram[low : low + _AT_ONCE])
         return pa.table(
-            {"lang": group.column("lang").slice(0, 1), "bundle": pa.array([total.tolist()])}
+            {
+                "lang": group.column("lang").slice(0, 1),
+                "bundle": pa.array([total.tolist()]),
+                "grams": pa.array([n.sum()]),
+            }
         )
 
     return run
@@ -127,14 +140,19 @@ def learn(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> Pro
     parts = (
         counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(16)))
         .groupBy("lang", "part")
-        .applyInArrow(_bundle(params), "lang string, bundle array<double>")
+        .applyInArrow(_bundle(params), "lang string, bundle array<double>, grams double")
     )
     bundles: dict[str, np.ndarray] = {}
-    for row in parts.collect():
+    sizes: dict[str, float] = {}
+    # At most 16 rows a language, in an order that does not depend on the run.
+    for row in sorted(parts.collect()):
         bundles[row["lang"]] = bundles.get(row["lang"], 0) + np.array(row["bundle"])
+        sizes[row["lang"]] = sizes.get(row["lang"], 0) + row["grams"]
     languages = sorted(bundles)
-    rows = [bundles[x] / (np.linalg.norm(bundles[x]) or 1) for x in languages]
-    return Profiles(languages, np.array(rows).reshape(len(rows), params.dimensions), params)
+    norms = [float(np.linalg.norm(bundles[x])) for x in languages]
+    rows = [bundles[x] / (norm or 1) for x, norm in zip(languages, norms)]
+    typical = np.array([norm / max(sizes[x], 1) for x, norm in zip(languages, norms)])
+    return Profiles(languages, np.array(rows).reshape(len(rows), params.dimensions), params, typical)
 
 
 class _Scorer:
@@ -152,8 +170,8 @@ class _Scorer:
             self._codes, self._rows, new = self._codes[:0], self._rows[:0], distinct
         if len(new):
             rows = [
-                self._vectors.of(new[a : a + 4096]) @ self._profiles.prototypes.T
-                for a in range(0, len(new), 4096)
+                self._vectors.of(new[a : a + _AT_ONCE]) @ self._profiles.prototypes.T
+                for a in range(0, len(new), _AT_ONCE)
             ]
             merged = np.concatenate([self._codes, new])
             order = np.argsort(merged)
@@ -207,19 +225,44 @@ def identify(
     return texts.mapInArrow(_predicted(profiles), "doc_id long, lang_pred string, score double")
 
 
+def _foreign(codes: np.ndarray, dot: float, typical: float) -> bool:
+    """Whether a text's trigrams agree with a prototype hardly more than random ones would.
+
+    Products of random trigrams have mean 0 and deviation 1; repeats of one are no new evidence, so a
+    text of few trigrams gets the benefit of the doubt.
+    """
+    if dot >= LEAST_SHARE * typical * len(codes):
+        return False
+    n = np.unique(codes, return_counts=True)[1].astype(float)
+    independent = n.sum() ** 2 / (n @ n)
+    return dot / len(codes) < LEAST_SHARE * typical - DEVIATIONS / np.sqrt(independent)
+
+
 def known_only(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, whose text has a language that was learned.
 
-    Every row is judged by itself as in `identify`, and nothing is shuffled or joined.
+    Null texts and texts without a letter go, and so do texts that agree with no prototype, as those of
+    another script. If no language was learned, nothing is known against any row and all stay. Every
+    row is judged by itself, and nothing is shuffled or joined.
     """
+    n = len(profiles.languages)
+    if not n:
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(profiles)
-        n = len(profiles.languages)
         for batch in slices(batches, at):
-            best, _ = _nearest(scorer, batch.column(at).to_pylist(), n)
-            yield batch.filter(pa.array(best < n))
+            texts = batch.column(at).to_pylist()
+            best, dots = _nearest(scorer, texts, n)
+            keep = best < n
+            for i in np.flatnonzero(keep):
+                own, typical = dots[i, best[i]], profiles.typical[best[i]]
+                # The count of trigrams is at most that of characters.
+                if own < LEAST_SHARE * typical * len(texts[i]):
+                    keep[i] = not _foreign(grams([texts[i]])[0], own, typical)
+            yield batch.filter(pa.array(keep))
+        pa.default_memory_pool().release_unused()
 
     # Names may have dots, which `mapInArrow` does not quote.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
 from .components import components
+from .joins import join_keys
 from .words import Words, mix, sequences, slices
 
 # Ids are broadcast (8 bytes each) if they were counted and are no more than this.
@@ -207,13 +208,16 @@ def near_duplicates(
     )
     schema = "doc_id long, n_shingles long, set_id binary, keys array<long>"
     signed = scratch.table(texts.mapInArrow(_signed_rows(params), schema), "signed")
-    first = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    # Equal sets are counted with partial sums; only those that recur need a join.
+    known = signed.where("set_id is not null")
+    first = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    first = scratch.table(first.where("n > 1").drop("n"), "equal-sets")
     members = scratch.table(
-        signed.join(first, "set_id").select(
+        join_keys(known, first, ["set_id"], "left").select(
             "doc_id",
-            "rep",
+            F.coalesce("rep", "doc_id").alias("rep"),
             "n_shingles",
-            F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"),
+            F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("keys")).alias("keys"),
         ),
         "members",
     )

@@ -7,14 +7,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
-from .tokens import word_tokens
+from .tokens import WordTokens
+from .words import slices
+
+
+# Turns of column generation for each class after which the plan is taken as it is: valid, as what it
+# leaves is placed by first fit, though not proven to be near the best.
+MOST_TURNS = 50
 
 
 @dataclass(frozen=True)
@@ -39,8 +44,9 @@ def _pieces(path: str, params: PackParams, with_ids: bool):
     wide = 4 * params.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(path)
-        for batch in batches:
+        # One a task: tokenizer and remembered words go with it.
+        tokens = WordTokens(path)
+        for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in _PIECE.names}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = tokens.ids(text.as_py()) + end
@@ -53,6 +59,8 @@ def _pieces(path: str, params: PackParams, with_ids: bool):
                     out["doc_tokens"].append(len(ids) // 4)
                     out["ids"].append(part if with_ids else None)
             yield pa.record_batch([pa.array(out[f.name], f.type) for f in _PIECE], schema=_PIECE)
+            del out
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -81,7 +89,11 @@ def plan(counts: np.ndarray, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     cost = np.ones(len(classes))
     inverse = np.diag(1 / np.diag(patterns))
     amount = inverse @ need
+    turns = 0
     while True:
+        turns += 1
+        if turns > MOST_TURNS * len(classes):
+            break
         price = cost @ inverse
         if price.min() < -1e-9:
             # More pieces of a class than needed do no harm: places may stay empty.
@@ -206,15 +218,16 @@ def pack(
         counts[row["class"] - 1] = row["count"]
     places = _places(plan(counts, params.gap))
 
-    @F.pandas_udf("long")
-    def sequence(size: pd.Series, rank: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def sequence(size: pa.Array, rank: pa.Array) -> pa.Array:
+        size, rank = size.to_numpy(), rank.to_numpy()
         out = np.zeros(len(size), np.int64)
-        for c in size.unique():
+        for c in np.unique(size).tolist():
             at = np.flatnonzero(size == c)
-            r = rank.to_numpy()[at]
+            r = rank[at]
             row = places[c][np.searchsorted(places[c][:, 0], r, side="right") - 1]
             out[at] = row[:, 1] + (r - row[:, 0]) // row[:, 2]
-        return pd.Series(out)
+        return pa.array(out)
 
     windows = max(1, -(-int(counts.sum()) // params.ranked_rows))
     dealt = classed.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(windows)))

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
-
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-# Words whose ids one Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+# Words whose ids a task remembers before it starts afresh: some 200 bytes each, in two tables.
+REMEMBERED = 60_000
 
 # Texts of these characters alone are split here. All are letters, digits or symbols to both this
 # module and the tokenizer, and no normalisation changes more than their case.
@@ -66,8 +64,3 @@ class WordTokens:
             self._words[word] = ids
         return ids
 
-
-@cache
-def word_tokens(path: str) -> WordTokens:
-    """One per Python worker and file."""
-    return WordTokens(path)

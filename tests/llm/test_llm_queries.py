@@ -4,7 +4,7 @@ import pytest
 from compare import differences
 
 import corpus_pipeline
-from sextile.llm import oracle, queries
+from sextile.llm import langid, oracle, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,8 +57,24 @@ def test_stages_on_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 2, 3]
     assert [r.doc_id for r in corpus_pipeline.without_copies(spark, kept, SF).collect()] == [3]
     near = corpus_pipeline.without_near_copies(spark, kept, SF).collect()
-    assert [r.doc_id for r in near] == [2, 2]
+    assert [r.doc_id for r in near] == [2]
+    again = kept.where("doc_id = 2")
+    for stage in (corpus_pipeline.without_copies, corpus_pipeline.without_near_copies):
+        assert [tuple(r) for r in stage(spark, again, SF).collect()] == [rows[2]]
     assert corpus_pipeline.without_leaks(spark, kept, SF).count() == 3
     assert corpus_pipeline.packed(spark, kept.limit(0), SF).count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_languages_that_were_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = langid.learn(docs)
+    kept = langid.known_only(docs, profiles)
+    lost = docs.where("lang IS NOT NULL").join(kept, "doc_id", "left_anti")
+    assert lost.where("text RLIKE '[A-Za-z]'").count() == 0
+    odd = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "いろはにほへとちりぬるをわかよたれそつねならむういのおくやま", "日本 語テキスト " * 50]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, "Ый", None])], "doc_id long, text string")
+    assert [r.doc_id for r in langid.known_only(frame, profiles).collect()] == [3]
+    nothing = langid.learn(docs.limit(0))
+    assert langid.known_only(frame, nothing).count() == 5

@@ -283,7 +283,7 @@ def test_trigram_scores_are_bundles():
     vectors = langid.Vectors(params).of(codes).astype(int)
     assert set(np.unique(vectors)) == {-1, 1}
     prototypes = np.random.default_rng(0).normal(size=(2, 64))
-    scores = langid._Scorer(langid.Profiles(["a", "b"], prototypes, params))(codes[:4])
+    scores = langid._Scorer(langid.Profiles(["a", "b"], prototypes, params, np.ones(2)))(codes[:4])
     assert np.allclose(scores.sum(axis=0), prototypes @ vectors[:4].sum(axis=0))
 
 
