@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import utc_day
@@ -38,6 +38,82 @@ def daily_rollup(log: DataFrame) -> DataFrame:
     )
 
 
+BINS = 20
+
+
+def daily_state(log: DataFrame, bins: int = BINS) -> DataFrame:
+    """What can be merged of the figures by category and UTC day, for a store that grows.
+
+    Beside sums and counts: the rows of each confidence bin, and a sketch of the distinct texts.
+    """
+    day = utc_day(log).alias("date")
+    # Bins are counted by themselves first, so that a day's vector is put together from `bins` rows.
+    cells = log.groupBy("predicted_category", day, _bin(bins)).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("confidence").alias("confidence_sum"),
+        F.count("confidence").alias("confidence_count"),
+        F.max("timestamp").alias("last_timestamp"),
+        F.hll_sketch_agg("text").alias("texts"),
+    )
+    in_bin = lambda i: F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0))
+    return cells.groupBy("predicted_category", "date").agg(
+        F.sum("n").alias("count"),
+        F.sum("confidence_sum").alias("confidence_sum"),
+        F.sum("confidence_count").alias("confidence_count"),
+        F.max("last_timestamp").alias("last_timestamp"),
+        F.array(*[in_bin(i) for i in range(bins)]).alias("bins"),
+        F.hll_union_agg("texts").alias("texts"),
+    )
+
+
+def merged_state(states: DataFrame, bins: int = BINS) -> DataFrame:
+    """One row for each category and day of several `daily_state` tables."""
+    return states.groupBy("predicted_category", "date").agg(
+        F.sum("count").alias("count"),
+        F.sum("confidence_sum").alias("confidence_sum"),
+        F.sum("confidence_count").alias("confidence_count"),
+        F.max("last_timestamp").alias("last_timestamp"),
+        F.array(*[F.sum(F.col("bins")[i]) for i in range(bins)]).alias("bins"),
+        F.hll_union_agg("texts").alias("texts"),
+    )
+
+
+def rollup_of(state: DataFrame) -> DataFrame:
+    """A merged state as the rollup that the reports are made from."""
+    return state.withColumn("avg_confidence", ratio(F.col("confidence_sum"), F.col("confidence_count")))
+
+
+def state_histogram(state: DataFrame, bins: int = BINS) -> DataFrame:
+    """Rows per confidence bin, exact, from the state of some days."""
+    sums = state.agg(F.array(*[F.coalesce(F.sum(F.col("bins")[i]), F.lit(0)) for i in range(bins)]).alias("n"))
+    return sums.select(F.posexplode("n").alias("bin", "count")).select(
+        "bin",
+        (F.col("bin") / bins).alias("bin_start"),
+        ((F.col("bin") + 1) / bins).alias("bin_end"),
+        "count",
+    )
+
+
+def state_summary(state: DataFrame) -> DataFrame:
+    """Totals of some days: rows, active categories, and about how many distinct texts.
+
+    The number of texts is a sketch's, within a few percent; the others are exact.
+    """
+    return state.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("total_predictions"),
+        ratio(F.sum("confidence_sum"), F.sum("confidence_count")).alias("row_avg_confidence"),
+        F.count_distinct("predicted_category").alias("active_categories"),
+        F.hll_sketch_estimate(F.hll_union_agg("texts")).alias("distinct_texts"),
+    )
+
+
+def _bin(bins: int) -> Column:
+    """The confidence bin of a row, null without a confidence."""
+    index = F.floor(F.col("confidence") * bins).cast("int")
+    bounded = F.greatest(F.lit(0), F.least(index, F.lit(bins - 1)))
+    return F.when(F.col("confidence").isNotNull(), bounded).alias("bin")
+
+
 def prediction_stats(rollup: DataFrame) -> DataFrame:
     """Count and mean confidence by category and day, the latest prediction first."""
     return rollup.orderBy(F.desc("last_timestamp"), "predicted_category").select(

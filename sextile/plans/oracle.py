@@ -441,3 +441,28 @@ ALL: dict[str, str] = {
            FROM stats""",
     ),
 }
+
+_DAYS = "date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"
+
+ALL |= {
+    # The same rows by another way.
+    "csv_split": ALL["csv_articles"],
+    "log_retry": ALL["log_texts"],
+    "log_compacted": ALL["score_log"],
+    "rollup_live": ALL["prediction_stats"],
+    "histogram_between": _with(
+        "prediction_log",
+        f"""SELECT CAST(b.bin AS INTEGER) AS bin, round(b.bin / 20, 6) AS bin_start,
+                   round((b.bin + 1) / 20, 6) AS bin_end, count(p.id) AS count
+            FROM range(20) b(bin) LEFT JOIN prediction_log p
+              ON p.confidence IS NOT NULL AND {_DAYS}
+                 AND greatest(0, least(19, CAST(floor(p.confidence * 20) AS INTEGER))) = b.bin
+            GROUP BY b.bin""",
+    ),
+    "summary_between": _with(
+        "prediction_log",
+        f"""SELECT count(*) AS total_predictions, round(avg(confidence), 6) AS row_avg_confidence,
+                   count(DISTINCT predicted_category) AS active_categories
+            FROM prediction_log WHERE {_DAYS}""",
+    ),
+}

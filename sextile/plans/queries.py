@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import DESCRIPTION, HEADLINE, LABEL, TAGS
+from ..functions.constants import ARTICLE_COLUMNS, DESCRIPTION, HEADLINE, LABEL, TAGS
 from ..functions.text import terms, tokens
+from ..functions.times import instant
 from ..operators import analytics, features, metrics, registry, vocabulary
 from ..operators.split import Split, split_counts, stratified_split
 from ..sources import bundle, csv, store
@@ -23,6 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # A small forest, so that the queries which need a model stay quick.
 SMALL = training.ForestParams(num_trees=20, max_depth=10)
 
+# Blocks of the one CSV file: 8 tasks and more at the smallest scale.
+CSV_BLOCK = 32 << 10
+
 _models: dict[tuple[str, str], training.TrainedModel] = {}
 
 
@@ -154,6 +159,79 @@ def rollup_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(rounded(table, ["avg_confidence"]))
 
 
+def rollup_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily figures of a store that batches and a stream feed, one batch of them twice."""
+    path = new_path(spark, "live")
+    log = views.prediction_log(spark, sf_dir)
+    instants = log.withColumn("timestamp", instant(log, "timestamp"))
+    for number in (0, 1, 1):
+        part = instants.where(F.pmod("id", F.lit(3)) == number)
+        stored.add_batch(part, path, "backfill", number)
+    stored.merge_batches(spark, path)
+    stored.add_batch(instants.where(F.pmod("id", F.lit(3)) == 1), path, "backfill", 1)
+    events = views.log_of(_source_stream(spark, sf_dir, "events"))
+    jobs.stream_rollup(
+        events.where(F.pmod("id", F.lit(3)) == 2), path, new_path(spark, "stream-checkpoint"), available_now=True
+    ).awaitTermination()
+    table = analytics.prediction_stats(analytics.rollup_of(stored.read_live(spark, path)))
+    return ranked(rounded(table, ["avg_confidence"]))
+
+
+def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored state of all days of the log."""
+    path = new_path(spark, "live")
+    log = views.prediction_log(spark, sf_dir)
+    stored.add_batch(log.withColumn("timestamp", instant(log, "timestamp")), path, "backfill", 0)
+    return stored.read_live(spark, path)
+
+
+SINCE, UNTIL = date(2024, 1, 10), date(2024, 1, 20)
+
+
+def histogram_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence bins of a range of days, from the stored state alone."""
+    days = analytics.between(live_state(spark, sf_dir), SINCE, UNTIL)
+    return rounded(analytics.state_histogram(days), ["bin_start", "bin_end"])
+
+
+def summary_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a range of days, from the stored state alone; texts are tested for their error."""
+    days = analytics.between(live_state(spark, sf_dir), SINCE, UNTIL)
+    return rounded(analytics.state_summary(days).drop("distinct_texts"), ["row_avg_confidence"])
+
+
+def log_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log keeps of all documents, in four batches that are appended twice each."""
+    log_path, _ = store.create_tables(spark, new_path(spark, "store"))
+    rows = document_log(spark, sf_dir)
+    for i in (0, 1, 0, 2, 3, 1, 2, 3):
+        part = rows.where(F.pmod("id", F.lit(4)) == i)
+        store.append_predictions(part, log_path, batch=f"part {i}")
+    return store.read_log(spark, log_path).select(
+        "id", "text", "predicted_category", "confidence", "model_version"
+    )
+
+
+def log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one log by batches and streams, with compactions between and after them."""
+    log_path, _ = store.create_tables(spark, new_path(spark, "store"))
+    model = small_model(spark, sf_dir).model
+    part = F.pmod("doc_id", F.lit(4))
+    checkpoint = new_path(spark, "stream-checkpoint")
+    for i, batch in enumerate(("first", "second")):
+        rows = documents(spark, sf_dir).where(part == i)
+        scoring.score_and_log(model, rows, log_path, "doc_id", batch=batch)
+        arriving = _source_stream(spark, sf_dir, "documents").where(part == 2 + i)
+        jobs.stream_scores(
+            model, arriving, log_path, f"{checkpoint}-{i}", "doc_id", available_now=True
+        ).awaitTermination()
+        store.compact_log(spark, log_path)
+    store.expire_replaced(spark, log_path)
+    # A batch that was merged is not taken twice.
+    scoring.score_and_log(model, rows, log_path, "doc_id", batch="second")
+    return store.read_log(spark, log_path).select("id", "text", "model_version")
+
+
 # --- labelled articles ------------------------------------------------------------------------
 
 
@@ -176,6 +254,14 @@ def csv_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.read_labelled_articles(spark, path)
 
 
+def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled articles as one multi-line CSV file, landed in many tasks."""
+    path = new_path(spark, "articles-csv")
+    csv.write_csv(articles(spark, sf_dir).coalesce(1), path)
+    landed = csv.land_csv(spark, path, new_path(spark, "articles"), block_bytes=CSV_BLOCK)
+    return csv.require_columns(landed, ARTICLE_COLUMNS)
+
+
 def csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversation turns written as CSV and read back as texts to score."""
     path = new_path(spark, "texts-csv")
@@ -187,13 +273,17 @@ def prepared_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir)
 
 
-def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the log would keep of every document that is more than white space."""
     kept = scoring.without_blank(views.table(spark, sf_dir, "documents"), "text")
     labelled = kept.select(
         "doc_id", "text", F.col("source").alias("predicted_category"), F.lit(0.5).alias("confidence")
     )
-    return store.log_rows(labelled, "doc_id").select(
+    return store.log_rows(labelled, "doc_id")
+
+
+def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_log(spark, sf_dir).select(
         "id", "text", "predicted_category", "confidence", "model_version"
     )
 
@@ -548,10 +638,16 @@ ALL: dict[str, Query] = {
     "predicted_distribution": predicted_distribution,
     "log_store": log_store,
     "rollup_store": rollup_store,
+    "rollup_live": rollup_live,
+    "histogram_between": histogram_between,
+    "summary_between": summary_between,
+    "log_retry": log_retry,
+    "log_compacted": log_compacted,
     "label_distribution": label_distribution,
     "dataset_shape": dataset_shape,
     "dataset_preview": dataset_preview,
     "csv_articles": csv_articles,
+    "csv_split": csv_split,
     "csv_texts": csv_texts,
     "prepared_text": prepared_text,
     "log_texts": log_texts,

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import TEXT_COLUMN
 from ..functions.text import is_blank, quoted
-from ..operators.features import PREDICTED, PROBABILITY, TEXT
+from ..operators.features import PREDICTED, PROBABILITY, TERMS, TEXT
 from ..sources.store import append_predictions, log_rows
 
 
@@ -56,18 +60,57 @@ def score(
     return model.transform(source).select(*placed, *columns.values())
 
 
+class TextScorer:
+    """A fitted pipeline for one text at a time, on the driver and without a job.
+
+    Words and pairs come from the pipeline's own expressions over a relation of one literal, which
+    Spark evaluates while it plans. They are counted and weighted here as the vector stages do, and
+    the forest's single-vector call gives the probabilities. Equal to `score` on the same text; for
+    many texts `score` is the way, since this works through them one by one.
+    """
+
+    def __init__(self, model: PipelineModel):
+        words, pairs, counter, weights, _, self._forest, _ = model.stages
+        inner = "VALUES (CAST(:text AS STRING)) AS given(" + TEXT + ")"
+        for stage in (words, pairs):
+            inner = "(" + stage.getStatement().replace("__THIS__", inner) + ")"
+        self._statement = f"SELECT {TERMS} FROM {inner}"
+        self._index = {term: i for i, term in enumerate(counter.vocabulary)}
+        self._weights = weights.getScalingVec().toArray().tolist()
+        self._classes = classes_of(model)
+
+    def terms(self, spark: SparkSession, text: str) -> list[str]:
+        return spark.sql(self._statement, args={"text": text}).collect()[0][0]
+
+    def vector(self, terms: Sequence[str]) -> SparseVector:
+        counts = Counter(i for term in terms if (i := self._index.get(term)) is not None)
+        weighted = {i: n * self._weights[i] for i, n in sorted(counts.items())}
+        norm = math.sqrt(sum(w * w for w in weighted.values()))
+        return Vectors.sparse(len(self._weights), {i: w / norm for i, w in weighted.items()})
+
+    def __call__(self, spark: SparkSession, text: str) -> dict:
+        odds = self._forest.predictProbability(self.vector(self.terms(spark, text))).toArray()
+        best = int(odds.argmax())
+        return {
+            "category": self._classes[best],
+            "confidence": float(odds[best]),
+            "probabilities": dict(zip(self._classes, odds.tolist())),
+        }
+
+
+_scorers: WeakKeyDictionary[PipelineModel, TextScorer] = WeakKeyDictionary()
+
+
 def predict(spark: SparkSession, model: PipelineModel, text: str) -> dict:
-    """One text, for a look at a model: category, confidence and the probability of each class.
+    """One text: category, confidence and the probability of each class. No job is run.
 
-    It is a job like any other; many texts belong into one frame and one call of `score`.
+    The first call for a model reads its vocabulary and weights, later ones use them again.
     """
-    one = spark.createDataFrame([(text,)], f"{TEXT_COLUMN} string")
-    row = score(model, one, probabilities=True, on_null="fail").first()
-    return {
-        "category": row["predicted_category"],
-        "confidence": row["confidence"],
-        "probabilities": row["probabilities"],
-    }
+    if text is None:
+        raise ValueError("there is no text")
+    if model not in _scorers:
+        _scorers[model] = TextScorer(model)
+    return _scorers[model](spark, text)
 
 
 def ranked_probabilities(scored: DataFrame, id_cols: Sequence[str]) -> DataFrame:
@@ -110,7 +153,11 @@ def score_and_log(
     text_col: str = TEXT_COLUMN,
     version: str | None = None,
     timestamp_col: str | None = None,
+    batch: str | None = None,
 ) -> None:
-    """Score and append to the log as one job. Plain `score` logs nothing."""
+    """Score and append to the log as one job. Plain `score` logs nothing.
+
+    With a name for the `batch` the call may be repeated, and its rows are in the log once.
+    """
     rows = scored_log_rows(model, df, id_col, text_col, version, timestamp_col)
-    append_predictions(rows, log_path, many_days=timestamp_col is not None)
+    append_predictions(rows, log_path, timestamp_col is not None, batch)

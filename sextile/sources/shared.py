@@ -42,6 +42,46 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
 
 
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """A small file that readers see whole or not at all.
+
+    Without `overwrite` the call fails if there is such a file, even if another writer makes it at the
+    same moment.
+    """
+    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(draft)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    how = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE if overwrite else how.NONE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        target.getFileSystem(conf).getUri(), conf
+    )
+    files.rename(draft, target, options)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file, None if there is none."""
+    file, files = file_system(spark, path)
+    if not files.exists(file):
+        return None
+    stream = files.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    file, files = file_system(spark, path)
+    files.delete(file, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -75,8 +115,7 @@ class Scratch:
 
     def __exit__(self, *error) -> None:
         for path in self._paths:
-            folder, files = file_system(self._spark, path)
-            files.delete(folder, True)
+            delete(self._spark, path)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

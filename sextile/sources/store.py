@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
+import uuid
 from datetime import date, datetime, timezone
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import log_text
 from ..functions.times import instant, utc_date
-from .shared import children
+from .shared import children, delete, file_system, read_text, write_text
 
 LOG_SCHEMA = T.StructType(
     [
@@ -79,20 +82,47 @@ def log_rows(
     ).withColumn("date", utc_date("timestamp"))
 
 
-# Readers of a log's own folder pass over names like this.
-STREAMS = "_streams"
+# Readers of a log's own folder pass over names like these.
+STREAMS, BATCHES, COMMITS = "_streams", "_batches", "_commits"
+COMPACTED, MANIFEST = "_compacted", "_manifest"
 
 
-def append_predictions(rows: DataFrame, path: str, many_days: bool = False) -> None:
+def append_predictions(
+    rows: DataFrame, path: str, many_days: bool = False, batch: str | None = None
+) -> None:
     """Append one batch of `log_rows`.
 
     A batch of today's predictions is one partition and is written in place, without a shuffle.
     A backfill over `many_days` is rebalanced on the day first, so that files are of even size:
     small days are merged and a day with most of the rows is split over tasks.
+
+    A call that may be repeated gives its `batch` a name. Rows of a name are in the log once: the call
+    writes a folder of its own, which a commit record then makes part of the log in one step, in place
+    of what an earlier call under the name wrote. An interrupted call leaves nothing that is read.
     """
     if many_days:
         rows = rows.hint("rebalance", "date")
-    rows.write.mode("append").partitionBy("date").parquet(path)
+    if batch is None:
+        rows.write.mode("append").partitionBy("date").parquet(path)
+        return
+    spark = rows.sparkSession
+    key = _key(batch)
+    if key in _manifest(spark, path)["batches"]:
+        # Merged with others by now, which is done for committed batches only.
+        return
+    attempt = uuid.uuid4().hex
+    rows.write.partitionBy("date").parquet(f"{path}/{BATCHES}/{key}/{attempt}")
+    if key in _manifest(spark, path)["batches"]:
+        delete(spark, f"{path}/{BATCHES}/{key}/{attempt}")
+        return
+    write_text(spark, f"{path}/{COMMITS}/{key}", attempt, overwrite=True)
+    for name in children(spark, f"{path}/{BATCHES}/{key}"):
+        if name != attempt:
+            delete(spark, f"{path}/{BATCHES}/{key}/{name}")
+
+
+def _key(name: str) -> str:
+    return hashlib.md5(name.encode()).hexdigest()
 
 
 def stream_folder(path: str, checkpoint: str) -> str:
@@ -100,18 +130,100 @@ def stream_folder(path: str, checkpoint: str) -> str:
 
     A stream's sink keeps a list of its own files, which readers of its folder go by alone.
     """
-    return f"{path}/{STREAMS}/{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
+    return f"{path}/{STREAMS}/{_key(checkpoint.rstrip('/'))}"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of all writers: batches in the log's own folder, and each stream in its own."""
+    """The rows of all writers: batches in the log's own folder, named ones, and each stream.
+
+    Files that a compaction has merged are passed over, and its own are read instead.
+    """
+    manifest = _manifest(spark, path)
+    reader = spark.read.schema(LOG_SCHEMA)
+    merged = set(manifest["files"])
+    parts = []
+    for folder in _folders(spark, path, manifest):
+        if not merged:
+            parts.append(reader.parquet(folder))
+        elif files := _live(spark, folder, merged):
+            parts.append(reader.option("basePath", folder).parquet(*files))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], LOG_SCHEMA)
+
+
+def compact_log(spark: SparkSession, path: str, below: int = 64 << 20) -> int:
+    """Merge the files of the log that are smaller than `below` bytes; returns how many they were.
+
+    The merged rows are written first; then a manifest with the names of the files they replace comes
+    into force in one step. Readers see every row once at any time, and writers and running streams
+    go on undisturbed. Of two compactions at once, the second fails and changes nothing. The replaced files stay
+    for readers that have started, until `expire_replaced`.
+    """
+    manifest = _manifest(spark, path)
+    merged = set(manifest["files"])
+    folders = _folders(spark, path, manifest)
+    small = {f: [x for x in _live(spark, f, merged) if _size(spark, x) < below] for f in folders}
+    count = sum(map(len, small.values()))
+    if count < 2:
+        return 0
     reader = spark.read.schema(LOG_SCHEMA)
-    return reduce(DataFrame.union, [reader.parquet(folder) for folder in _folders(spark, path)])
+    rows = reduce(
+        DataFrame.union,
+        [reader.option("basePath", f).parquet(*files) for f, files in small.items() if files],
+    )
+    name = uuid.uuid4().hex
+    rows.hint("rebalance", "date").write.partitionBy("date").parquet(f"{path}/{COMPACTED}/{name}")
+    # A batch is closed once any of its files is merged: it can no longer be written again.
+    closed = dict(f.split("/")[-2:] for f, files in small.items() if files and f"/{BATCHES}/" in f)
+    new = {
+        "version": manifest["version"] + 1,
+        "folders": [*manifest["folders"], name],
+        "files": sorted(merged | {_file_key(x) for files in small.values() for x in files}),
+        "batches": manifest["batches"] | closed,
+    }
+    write_text(spark, f"{path}/{MANIFEST}/{new['version']:08d}", json.dumps(new))
+    return count
+
+
+def expire_replaced(spark: SparkSession, path: str) -> None:
+    """Delete the files that compactions have replaced, once no reader from before is left."""
+    manifest = _manifest(spark, path)
+    merged = set(manifest["files"])
+    for folder in _folders(spark, path, manifest):
+        for file in _files(spark, folder):
+            if _file_key(file) in merged:
+                delete(spark, unquote(file))
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """The one of the last compaction: its folders, files they replace, and attempts of closed batches."""
+    versions = [name for name in children(spark, f"{path}/{MANIFEST}") if name.isdigit()]
+    if not versions:
+        return {"version": 0, "folders": [], "files": [], "batches": {}}
+    return json.loads(read_text(spark, f"{path}/{MANIFEST}/{max(versions)}"))
+
+
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    return spark.read.schema(LOG_SCHEMA).parquet(folder).inputFiles()
+
+
+def _live(spark: SparkSession, folder: str, merged: set[str]) -> list[str]:
+    return [unquote(f) for f in _files(spark, folder) if _file_key(f) not in merged]
+
+
+def _file_key(file: str) -> str:
+    """A file by its partition and name, which has the number of its job in it."""
+    return "/".join(unquote(file).split("/")[-2:])
+
+
+def _size(spark: SparkSession, file: str) -> int:
+    where, files = file_system(spark, file)
+    return files.getFileStatus(where).getLen()
 
 
 def log_days(spark: SparkSession, path: str) -> list[date]:
     """The days that the log has partitions of, newest first, from the names of folders alone."""
-    names = {name for folder in _folders(spark, path) for name in children(spark, folder)}
+    folders = _folders(spark, path, _manifest(spark, path))
+    names = {name for folder in folders for name in children(spark, folder)}
     days = {name.removeprefix("date=") for name in names if name.startswith("date=")}
     return sorted((date.fromisoformat(d) for d in days if d[:1].isdigit()), reverse=True)
 
@@ -127,9 +239,17 @@ def read_recent_log(spark: SparkSession, path: str, n: int) -> DataFrame:
     return log
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def _folders(spark: SparkSession, path: str, manifest: dict) -> list[str]:
     streams = sorted(children(spark, f"{path}/{STREAMS}"))
-    return [path, *(f"{path}/{STREAMS}/{name}" for name in streams)]
+    committed = [
+        f"{BATCHES}/{key}/{read_text(spark, f'{path}/{COMMITS}/{key}')}"
+        for key in sorted(children(spark, f"{path}/{COMMITS}"))
+        if not key.startswith(".") and key not in manifest["batches"]
+    ]
+    closed = [f"{BATCHES}/{key}/{attempt}" for key, attempt in manifest["batches"].items()]
+    compacted = [f"{COMPACTED}/{name}" for name in manifest["folders"]]
+    parts = [*(f"{STREAMS}/{name}" for name in streams), *committed, *closed, *compacted]
+    return [path, *(f"{path}/{name}" for name in parts)]
 
 
 def append_model(spark: SparkSession, path: str, metadata: dict) -> int:

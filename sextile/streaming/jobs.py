@@ -17,9 +17,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.constants import TEXT_COLUMN
 from ..functions.times import instant, utc_date
+from ..operators.registry import with_active
+from ..plans import rollup
 from ..plans.scoring import scored_log_rows
+from ..sources.bundle import load_model
 from ..sources.shared import children, file_system
-from ..sources.store import stream_folder
+from ..sources.store import append_predictions, read_registry, stream_folder
 
 
 def read_stream(
@@ -70,6 +73,66 @@ def stream_scores(
     return _start(writer, available_now, every)
 
 
+def stream_active_scores(
+    stream: DataFrame,
+    models: str,
+    registry: str,
+    log_path: str,
+    checkpoint: str,
+    id_col: str,
+    text_col: str = TEXT_COLUMN,
+    timestamp_col: str | None = None,
+    available_now: bool = False,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Score with the model that is active when a micro-batch begins, and append to the log.
+
+    The active one is the last of the registry; its name there is that of its bundle in `models`, and
+    the log's version names it with its id. A new one is loaded between micro-batches, without a
+    restart. A micro-batch is a named batch of the log, so one that is repeated after a restart replaces itself.
+    """
+    loaded: dict[int, PipelineModel] = {}
+
+    def write_scores(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        active = with_active(read_registry(spark, registry)).where("is_active").first()
+        if active is None:
+            raise ValueError(f"there is no model in {registry}")
+        if active["id"] not in loaded:
+            loaded.clear()
+            loaded[active["id"]] = load_model(spark, models, active["model_name"])[0]
+        version = f"{active['model_name']} {active['id']}"
+        scored = scored_log_rows(loaded[active["id"]], rows, id_col, text_col, version, timestamp_col)
+        append_predictions(
+            scored, log_path, timestamp_col is not None, f"{checkpoint.rstrip('/')} {batch_id}"
+        )
+
+    writer = stream.writeStream.foreachBatch(write_scores).option("checkpointLocation", checkpoint)
+    return _start(writer, available_now, every)
+
+
+def stream_rollup(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    available_now: bool = False,
+    every: str | None = None,
+    merge_every: int = 100,
+) -> StreamingQuery:
+    """Feed a streamed log to the live store of daily figures, each micro-batch once.
+
+    `plans.rollup.read_live` gives the figures of all batches and streams that feed the store.
+    """
+
+    def write_state(rows: DataFrame, batch_id: int) -> None:
+        rollup.add_batch(rows.withColumn("timestamp", instant(rows, "timestamp")), path, checkpoint, batch_id)
+        if batch_id and batch_id % merge_every == 0:
+            rollup.merge_batches(rows.sparkSession, path)
+
+    writer = stream.writeStream.foreachBatch(write_state).option("checkpointLocation", checkpoint)
+    return _start(writer, available_now, every)
+
+
 def daily_figures(stream: DataFrame, delay: str | None = None) -> DataFrame:
     """Count and mean confidence by category and UTC day of a streamed log.
 

@@ -2,12 +2,16 @@
 
 import csv as plain_csv
 import glob
+import pathlib
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sextile.functions.constants import ARTICLE_COLUMNS
 from sextile.sources import csv
-from sextile.sources.shared import spread
+from sextile.plans import queries
+from sextile.sources.shared import Scratch, new_path, spread
 
 
 def write(path, text):
@@ -91,3 +95,51 @@ def test_spread(spark):
 
 def test_article_columns():
     assert ARTICLE_COLUMNS == ("Headline", "Description", "Topic_Tags", "PESTLE_Category")
+
+
+@pytest.mark.parametrize("end,block_bytes", [("\n", 100), ("\r\n", 700), ("\n", 10_000)])
+def test_one_file_in_many_tasks(spark, folder, end, block_bytes):
+    """Records that go over lines and over several blocks, as the reader of whole files has them."""
+    rng = random.Random(block_bytes)
+    bits = ["plain", 'a "quote"', "two\nlines", "\n", "\n\n", ",", '""', "é日本", " blank ", "NA", "x" * 300, '"\n"']
+    rows = [
+        ["".join(rng.choices(bits, k=rng.randrange(4))) for _ in range(3)] for _ in range(120)
+    ] + [["long " + "line\n" * 400, "b", "c"]]
+    for part in range(2):
+        with open(f"{folder}/part-{part}.csv", "w", newline="") as out:
+            writer = plain_csv.writer(out, lineterminator=end, quoting=rng.choice([plain_csv.QUOTE_MINIMAL, plain_csv.QUOTE_ALL]))
+            writer.writerow(["Head", "a b", 'q"x'])
+            writer.writerows(rows[part::2])
+    want = csv.read_csv(spark, folder)
+    got = csv.land_csv(spark, folder, f"{folder}-landed", block_bytes)
+    assert got.columns == want.columns == ["Head", "a b", 'q"x']
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with Scratch(spark) as scratch:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
+        try:
+            records = csv.split_records(spark, folder, scratch)
+            assert records.count() == records.select("file", "number").distinct().count()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_split_reader_on_small_files(spark, folder):
+    for name, text in (("none", ""), ("head", "a,b\n"), ("one", 'a,b\n"1\n2",3')):
+        (path := pathlib.Path(folder, name)).mkdir()
+        (path / "f.csv").write_text(text)
+    assert csv.land_csv(spark, f"{folder}/head", f"{folder}/1").columns == ["a", "b"]
+    assert [tuple(r) for r in csv.land_csv(spark, f"{folder}/one", f"{folder}/2").collect()] == [("1\n2", "3")]
+    with pytest.raises(ValueError, match="no header"):
+        csv.land_csv(spark, f"{folder}/none", f"{folder}/3")
+
+
+def test_split_query_reads_one_file_in_many_tasks(spark):
+    path = new_path(spark, "csv")
+    csv.write_csv(queries.articles(spark, "/root/testdata/sf0.001").coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(queries.CSV_BLOCK))
+    try:
+        lines = spark.read.option("lineSep", "\n").text(path)
+        assert len(lines.inputFiles()) == 1
+        assert lines.select(F.spark_partition_id()).distinct().count() >= 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
