@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, sequences, slices
+from .words import Words, mix, sequences, slices
 
 
 @dataclass(frozen=True)
@@ -20,8 +20,8 @@ class LeakParams:
     """Seeds, scores of the alignment, and what counts as a leak.
 
     An alignment is a leak if its score is worth `least_words` matching words, however long the item
-    is. A smaller one is a leak if it is the whole item, or if it has the `share` of the item's best
-    score and chance makes its words occur together at `chance` of all places at most.
+    is. A smaller one is a leak if it has the `share` of the item's best score and chance makes its words
+    occur together at `chance` of all places at most, or at `whole_chance` if it is the whole item.
     """
 
     seed_words: int = 3
@@ -35,6 +35,11 @@ class LeakParams:
     share: float = 0.5
     least_words: int = 13
     chance: float = 1e-10
+    whole_chance: float = 1e-8
+    # Seeds with gaps, for copies in which every third, or every second, word is another. They are used
+    # wherever chance makes them begin at `spaced_rare` of all words at most.
+    spaced: tuple[tuple[int, ...], ...] = ((0, 1, 3), (0, 2, 3), (0, 2, 4))
+    spaced_rare: float = 1e-6
     # Every run of so many words of an item has a seed, rare or not.
     window_words: int = 8
     # Text of the benchmark items that are looked for in one pass over the documents.
@@ -99,6 +104,12 @@ def _rare_seeds(texts: DataFrame, items: list, p: LeakParams) -> _Seeds | None:
         own_chance = chance[words.first[i] : words.first[i + 1]]
         likely = np.convolve(own_chance, np.ones(k), "valid")
         order = np.argsort(likely, kind="stable")
+        for number, shape in enumerate(p.spaced, 1):
+            if len(own) > shape[-1]:
+                at = np.flatnonzero(_spread(own_chance, shape).sum(axis=0) <= np.log(p.spaced_rare))
+                key.append(_spaced(own, shape, number)[at])
+                place.append(at)
+                item.append(np.full(len(at), len(ids)))
         use = order[(np.arange(len(order)) < p.least_seeds) | (likely[order] <= np.log(p.rare))]
         use = np.union1d(use, _rarest(likely, p.window_words - k + 1))
         key.append(sequences(own, k)[use])
@@ -114,6 +125,21 @@ def _rare_seeds(texts: DataFrame, items: list, p: LeakParams) -> _Seeds | None:
     return _Seeds(key[order], item[order], place[order], listed, ids, chances)
 
 
+def _spread(values: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """The values under a shape, one row for each of its words, one column for each place."""
+    n = max(0, len(values) - shape[-1])
+    return np.array([values[o : o + n] for o in shape])
+
+
+def _spaced(hashes: np.ndarray, shape: tuple[int, ...], number: int) -> np.ndarray:
+    """A hash of the words under a shape at every place; unlike shapes have unlike hashes."""
+    first, *others = _spread(hashes, shape)
+    out = first + np.uint64(number)
+    for row in others:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + row
+    return mix(out)
+
+
 def _rarest(likely: np.ndarray, window: int) -> np.ndarray:
     """The place of the smallest value of each window, the first of equal ones."""
     if len(likely) <= window:
@@ -135,9 +161,11 @@ def _improbable(query: np.ndarray, chance: np.ndarray, stretch: np.ndarray) -> f
 
 def _is_leak(score: int, query: np.ndarray, chance: np.ndarray, stretch: np.ndarray, p: LeakParams):
     full = p.match * len(query)
-    if score >= p.match * p.least_words or score == full:
+    if score >= p.match * p.least_words:
         return True
-    return score >= p.share * full and _improbable(query, chance, stretch) <= np.log(p.chance)
+    if score < p.share * full:
+        return False
+    return _improbable(query, chance, stretch) <= np.log(p.whole_chance if score == full else p.chance)
 
 
 def align(item: np.ndarray, region: np.ndarray, p: LeakParams = LeakParams()) -> tuple[int, int, int]:
@@ -187,9 +215,11 @@ def _leak_rows(seeds: _Seeds, p: LeakParams):
             hashes = words.hashes()
             text = words.owner()
             hits = []
-            for k in sizes:
-                grams = sequences(hashes, k)
-                at = words.runs(k)
+            looks = [(sequences(hashes, k), words.runs(k)) for k in sizes]
+            looks += [
+                (_spaced(hashes, shape, i), words.runs(shape[-1] + 1)) for i, shape in enumerate(p.spaced, 1)
+            ]
+            for grams, at in looks:
                 low = np.searchsorted(seeds.key, grams[at], "left")
                 high = np.searchsorted(seeds.key, grams[at], "right")
                 some = np.flatnonzero(high > low)
@@ -234,16 +264,18 @@ def leaks(
 
     Columns: `doc_id`, `item_id`, `score` (share of the best possible one), and the words of the
     document from `start_word` to before `end_word` that align. An alignment worth 13 matching words
-    counts whatever the item's length; a smaller one if it is the whole item, or has half of its best
-    score with words that rarely occur together by chance. A-Z count as a-z. Null or empty texts
+    counts whatever the item's length; a smaller one if it has half of the item's best score, or all of
+    it, with words that rarely occur together by chance. A-Z count as a-z. Null or empty texts
     on either side give no rows, nor do items or documents that are missing; equal items are found
     each. Repeated rows count once, rows without an id are left out; other columns are not read.
 
     The items are the stated query set, in blocks of bounded size by id; each block is sent to all
     documents. A first pass counts the items' own words in the whole corpus, and an item's seeds are
     the runs of words that are least likely by those counts, with one in any eight words, so that
-    no part of a long item is without. The alignment is limited to stretches
-    around seeds and looks at every one of them.
+    no part of a long item is without, and words with gaps between them that are unlikely enough.
+    The alignment is limited to stretches around seeds and looks at every one of them. A copy in which
+    no seed is left whole is not found: one that has only common words, or never three of the item's
+    words in one of the shapes.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
         "doc_id is not null"
