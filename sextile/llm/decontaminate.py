@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .words import Words, mix, sequences, slices
 
 
+# Words by which edits may move two seeds of one copy against each other.
+NEAR = 4
+
+
 @dataclass(frozen=True)
 class LeakParams:
     """Seeds, scores of the alignment, and what counts as a leak.
@@ -206,6 +210,36 @@ def _regions(starts: np.ndarray, length: int, n_words: int) -> Iterator[tuple[in
         yield max(0, int(part[0]) - length), min(n_words, int(part[-1]) + 2 * length)
 
 
+def _places(
+    seeds: _Seeds, looks: list, text: np.ndarray, first: np.ndarray
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Texts and items that share seeds, and the words of the text at which the item may begin.
+
+    A seed with gaps counts for nothing by itself: without a seed of consecutive words there must be two of
+    them which say, but for NEAR words, that the item begins at the same place.
+    """
+    found = []
+    for grams, at, has_gaps in looks:
+        low = np.searchsorted(seeds.key, grams[at], "left")
+        n = np.searchsorted(seeds.key, grams[at], "right") - low
+        seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        word = np.repeat(at, n)
+        doc = text[word]
+        start = word - seeds.place[seed] - first[doc]
+        found.append(np.array([doc, seeds.item[seed], start, np.full(len(doc), has_gaps)], np.int64))
+    doc, item, start, has_gaps = np.concatenate(found, axis=1)
+    order = np.lexsort((start, item, doc))
+    doc, item, start, has_gaps = doc[order], item[order], start[order], has_gaps[order]
+    if not len(doc):
+        return
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    close = np.concatenate([[False], ~new[1:] & (np.diff(start) <= NEAR)])
+    begin = np.flatnonzero(new)
+    good = np.add.reduceat((has_gaps == 0) | close, begin) > 0
+    for a, b in zip(begin[good].tolist(), np.append(begin[1:], len(doc))[good].tolist()):
+        yield int(doc[a]), int(item[a]), start[a:b]
+
+
 def _leak_rows(seeds: _Seeds, p: LeakParams):
     sizes = sorted({min(p.seed_words, len(x)) for x in seeds.words})
 
@@ -214,26 +248,18 @@ def _leak_rows(seeds: _Seeds, p: LeakParams):
             words = Words(batch.column(1), lower=True)
             hashes = words.hashes()
             text = words.owner()
-            hits = []
-            looks = [(sequences(hashes, k), words.runs(k)) for k in sizes]
+            looks = [(sequences(hashes, k), words.runs(k), False) for k in sizes]
             looks += [
-                (_spaced(hashes, shape, i), words.runs(shape[-1] + 1)) for i, shape in enumerate(p.spaced, 1)
+                (_spaced(hashes, shape, i), words.runs(shape[-1] + 1), True)
+                for i, shape in enumerate(p.spaced, 1)
             ]
-            for grams, at in looks:
-                low = np.searchsorted(seeds.key, grams[at], "left")
-                high = np.searchsorted(seeds.key, grams[at], "right")
-                some = np.flatnonzero(high > low)
-                for i, a, b in zip(at[some].tolist(), low[some].tolist(), high[some].tolist()):
-                    hits += [(int(text[i]), int(seeds.item[s]), i - int(seeds.place[s])) for s in range(a, b)]
-            places: dict[tuple[int, int], list[int]] = {}
-            for doc, item, start in hits:
-                places.setdefault((doc, item), []).append(start - int(words.first[doc]))
+            places = _places(seeds, looks, text, words.first)
             out = {k: [] for k in _LEAK.names}
-            for (doc, item), starts in places.items():
+            for doc, item, starts in places:
                 own = hashes[words.first[doc] : words.first[doc + 1]]
                 query = seeds.words[item]
                 best = (0, 0, 0)
-                for a, b in _regions(np.array(starts), len(query), len(own)):
+                for a, b in _regions(starts, len(query), len(own)):
                     score, x, y = align(query, own[a:b], p)
                     best = max(best, (score, a + x, a + y), key=lambda z: z[0])
                 share = best[0] / (p.match * len(query))
@@ -274,8 +300,8 @@ def leaks(
     the runs of words that are least likely by those counts, with one in any eight words, so that
     no part of a long item is without, and words with gaps between them that are unlikely enough.
     The alignment is limited to stretches around seeds and looks at every one of them. A copy in which
-    no seed is left whole is not found: one that has only common words, or never three of the item's
-    words in one of the shapes.
+    no seed is left whole is not found: one that has only common words, or in which fewer than two
+    shapes of three of the item's words are left.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
         "doc_id is not null"
