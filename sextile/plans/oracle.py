@@ -450,6 +450,17 @@ ALL |= {
     "log_retry": ALL["log_texts"],
     "log_compacted": ALL["score_log"],
     "rollup_live": ALL["prediction_stats"],
+    "train_support": _with(
+        "split_articles",
+        "SELECT category, count(*) AS support FROM split_articles WHERE split = 'test' GROUP BY category",
+    ),
+    "rank_contract": _with(
+        "prepared",
+        """SELECT count(*) AS n_texts,
+                  count(*) * (SELECT count(DISTINCT category) FROM prepared) AS n_rows,
+                  CAST(0 AS BIGINT) AS n_bad
+           FROM conversations WHERE text IS NOT NULL""",
+    ),
     "histogram_between": _with(
         "prediction_log",
         f"""SELECT CAST(b.bin AS INTEGER) AS bin, round(b.bin / 20, 6) AS bin_start,

@@ -574,6 +574,40 @@ def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.category_report(metrics.class_report(trained.test_counts))
 
 
+def train_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a training run says of its test part: the rows of each category."""
+    report = metrics.class_report(small_model(spark, sf_dir).test_counts)
+    return metrics.category_report(report).select("category", "support")
+
+
+def rank_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, rows and violations of the ranked probabilities of all turns."""
+    classes = scoring.classes_of(small_model(spark, sf_dir).model)
+    lists = score_probabilities(spark, sf_dir).groupBy("conv_id", "turn").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "category", "probability"))).alias("r")
+    )
+    odds, names = F.col("r.probability"), F.col("r.category")
+    total = F.aggregate(odds, F.lit(0.0), lambda a, p: a + p)
+    places = F.transform("r", lambda x, i: x["rank"] == i + 1)
+    falling = F.transform(
+        "r",
+        lambda x, i: (i == 0)
+        | (F.get(odds, i - 1) > x["probability"])
+        | ((F.get(odds, i - 1) == x["probability"]) & (F.get(names, i - 1) < x["category"])),
+    )
+    good = (
+        F.forall(places, lambda x: x)
+        & F.forall(falling, lambda x: x)
+        & (F.abs(total - 1.0) < 1e-9)
+        & F.array_sort(names).eqNullSafe(F.lit(classes))
+    )
+    return lists.agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.sum(F.size("r")).alias("n_rows"),
+        F.count_if(~good).alias("n_bad"),
+    )
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
@@ -678,6 +712,8 @@ ALL: dict[str, Query] = {
     "train_report": train_report,
     "score_batch": score_batch,
     "score_probabilities": score_probabilities,
+    "train_support": train_support,
+    "rank_contract": rank_contract,
     "score_contract": score_contract,
     "score_log": score_log,
     "score_csv": score_csv,
