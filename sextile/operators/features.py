@@ -78,6 +78,12 @@ def tfidf_vectors(
     return vectors.select(*df.columns, F.col(FEATURES).alias("features"))
 
 
+def token_vectors(df: DataFrame, vocabulary: Vocabulary, tokens_col: str) -> DataFrame:
+    """The same from words that were made before, as a table of them has it."""
+    vectors = PipelineModel(vector_stages(vocabulary)).transform(df.withColumn(TOKENS, F.col(tokens_col)))
+    return vectors.select(*df.columns, F.col(FEATURES).alias("features"))
+
+
 def tfidf_entries(vectors: DataFrame, vocabulary: Vocabulary, id_col: str) -> DataFrame:
     """The non-zero entries of sparse feature vectors: one row per document and term."""
     spark = vectors.sparkSession

@@ -324,23 +324,24 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.term_counts(docs, "words", docs.count(), max_features=None)
 
 
-def train_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def train_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
+    """Words of the training part, how many articles it has, and the words of all articles."""
     every = materialize(words(spark, sf_dir), "words")
     parts = stratified_split(every, "article_id", "category")
-    return parts.rows.where("split = 'train'"), parts.n_train
+    return parts.rows.where("split = 'train'"), parts.n_train, every
 
 
 def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, n_docs = train_words(spark, sf_dir)
+    docs, n_docs, _ = train_words(spark, sf_dir)
     top = vocabulary.top_terms(vocabulary.term_counts(docs, "words", n_docs))
     return rounded(vocabulary.weighted(top, n_docs), ["idf"])
 
 
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vectors of all articles, fitted on the training part, one row per entry."""
-    docs, n_docs = train_words(spark, sf_dir)
+    docs, n_docs, every = train_words(spark, sf_dir)
     fitted = vocabulary.build_vocabulary(docs, "words", n_docs)
-    vectors = features.tfidf_vectors(prepared(spark, sf_dir), fitted, "prepared_text")
+    vectors = features.token_vectors(every, fitted, "words")
     return rounded(features.tfidf_entries(vectors, fitted, "article_id"), ["weight"])
 
 
