@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices
+
 # Fixed values of HTML.
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset"
@@ -20,31 +22,46 @@ BLOCKS = set(
     " section summary table tbody tfoot thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-# Never part of an article, wherever they stand.
-APART = set(
-    "aside button datalist dialog fieldset footer form iframe menu nav object select".split()
-)
-# Words of a class or id that say the same of any other element.
+# Never part of an article if they are closed; forms may also be around a whole page.
+APART = set("aside button datalist dialog footer iframe menu nav object select".split())
+FORMS = {"form", "fieldset"}
+# Words of a class, id or role that say the same of any other element.
 APART_NAMES = set(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments"
-    " consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notices"
-    " pager pagination popup promo promoted promotion recommended related respond share sharing"
-    " sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert advertisement advertising adverts aside banner breadcrumb breadcrumbs comment comments"
+    " complementary consent contentinfo cookie cookies disqus footer gdpr menu modal nav navbar navigation"
+    " newsletter notice notices pager pagination popup promo promoted promotion recommended related respond"
+    " search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 HEADERS = {"header", "masthead"}
+# Words that may stand beside those in one name without a meaning of their own.
+BESIDE = set(
+    "area article articles bar block body bottom box buttons center container content div entry form"
+    " global group inner item items left links list main middle outer page panel post posts primary right"
+    " row secondary section site slot story thread top unit user wrap wrapper zone".split()
+)
+# Names of an article, and words that turn one of the above into a remark on the layout.
+CONTENT = set("article content entry post story".split())
+LAYOUT = set("has have no non not with without".split())
 # What can hold a whole article.
 CONTAINERS = set("article center div main section td".split())
-
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|canvas|math)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[a-z]+")
+ARTICLES = {"article", "main"}
+# A new one of these ends an open one.
+SIBLINGS = {name: {name} for name in ("li", "option")} | {
+    name: group for group in ({"dt", "dd"}, {"td", "th"}) for name in group
+}
+# Elements whose end may be left out, and how far back an implied end is looked for.
+ENDLESS = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
+INLINE_DEPTH = 32
+
+# Elements whose content is no markup.
+_RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "canvas", "math")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_QUOTED = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+_PLAIN = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>", re.I)
+_OPENING = re.compile(r"</?[a-z]|<[!?/]", re.I)
+_NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PARTS = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
+_HEADING = re.compile("h[1-6]$")
 
 
 @dataclass(frozen=True)
@@ -62,84 +79,209 @@ class HtmlParams:
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """Texts, and opening and closing tags with what is in them."""
-    at = 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            yield "", page[at : m.start()], ""
-        at = m.end()
-        name = m[3] or m[6]
-        if name:
-            yield (m[2] or m[5] or "<"), name.lower(), (m[4] or m[7] or "")
-    if at < len(page):
-        yield "", page[at:], ""
-
-
-def _is_apart(name: str, inside: str, in_article: bool) -> bool:
-    if name in APART:
-        return True
-    if name in ("html", "body", "main", "article"):
-        return False
-    if name in HEADERS:
-        return not in_article
-    if "=" not in inside:
-        return False
-    for found in _NAMES.findall(inside):
-        names = set(_PARTS.findall("".join(found).lower()))
-        if names & APART_NAMES or (names & HEADERS and not in_article):
-            return True
-    return False
-
-
-def pieces(page: str, whole: bool = False, held: list | None = None) -> Iterator[tuple[str, str, bool]]:
-    """What a page shows apart from menus and the like: texts, tags and ends of blocks.
-
-    Yields (kind, text or tag name, whether in an article): kind is `word`, `link word`, `tag` or
-    `break`. With `whole`, menus and the like come too, as outside of any article. `held`, if given,
-    always has the containers that are open, as (number, name).
+    """Texts, and opening and closing tags with what is in them; in time linear in the page.
+
+    A tag ends at the first `>` outside of quotes. Once the quotes of a tag do not end, they count no
+    more in the rest of the page; what follows the last `>` is text.
+    """
+    last = page.rfind(">")
+    quotes = True
+    endless: set[str] = set()
+    at = look = 0
+    while (m := _OPENING.search(page, look)) and m.start() <= last:
+        start = m.start()
+        if start > at:
+            yield "", page[at:start], ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = look = len(page) if end < 0 else end + 3
+            continue
+        tag = None
+        if page[start + 1] not in "!?":
+            tag = _QUOTED.match(page, start) if quotes else None
+            if tag is None:
+                tag = _PLAIN.match(page, start)
+                quotes = quotes and tag is None
+        if tag is None:
+            at = look = page.find(">", start) + 1
+            continue
+        at = look = tag.end()
+        name = tag[2].lower()
+        if name in _RAW_END and not tag[1]:
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end:
+                at = look = end.end()
+                continue
+            endless.add(name)
+            if name in ("script", "style"):
+                at = look = len(page)
+            continue
+        yield tag[1] or "<", name, tag[3]
+    comment = page.find("<!--", at)
+    rest = page[at:] if comment < 0 else page[at:comment]
+    if rest:
+        yield "", rest, ""
+
+
+def _mark(name: str, inside: str, in_article: bool) -> str:
+    """`strong` if the element's name or all of a class word says that it is no part of an article,
+    `weak` if a class word says so beside others, or if it is a form; else nothing.
+    """
+    if name in ("html", "body", *ARTICLES):
+        return ""
+    if name in APART or (name in HEADERS and not in_article):
+        return "strong"
+    weak = content = False
+    for found in _NAMES.findall(inside) if "=" in inside else ():
+        for word in "".join(found).split():
+            parts = {x.lower() for x in _PARTS.findall(word)}
+            if parts & LAYOUT:
+                continue
+            if parts & APART_NAMES or (parts & HEADERS and not in_article and not parts & CONTENT):
+                if not parts - APART_NAMES - HEADERS - BESIDE:
+                    return "strong"
+                weak = True
+            elif parts & CONTENT:
+                content = True
+    return "weak" if name in FORMS or (weak and not content) else ""
+
+
+@dataclass
+class Element:
+    """An element with its range of events; `apart` tells that it is no part of an article."""
+
+    name: str
+    mark: str
+    first: int
+    end: int = -1
+    closed: bool = False
+    apart: bool = False
+
+
+@dataclass
+class Page:
+    """Events of a page in order: (kind, text or tag name, whether in an article), and its elements.
+
+    Kind is `word`, `link word`, `tag` or `break`. Elements are in the order of their start and have
+    their range of events.
     """
-    held = [] if held is None else held
-    number = 0
-    stack: list[tuple[str, bool]] = []
+
+    events: list[tuple[str, str, bool]]
+    elements: list[Element]
+
+
+def parse(page: str) -> Page:
+    """The events and elements of a page. Ends that are left out are implied as browsers do."""
+    events: list[tuple[str, str, bool]] = []
+    elements: list[Element] = []
+    stack: list[Element] = []
     open_ = Counter()
-    apart = links = articles = 0
+    articles = 0
+
+    def end(closed: bool) -> str:
+        nonlocal articles
+        element = stack.pop()
+        element.end, element.closed = len(events), closed
+        open_[element.name] -= 1
+        articles -= element.name in ARTICLES
+        return element.name
+
+    def imply(names: set[str]) -> None:
+        """End an element of these names if only inline ones are open in it."""
+        for depth in range(1, min(len(stack), INLINE_DEPTH) + 1):
+            name = stack[-depth].name
+            if name in names:
+                for _ in range(depth):
+                    end(True)
+                return
+            if name in BLOCKS and name != "p":
+                return
+
     for kind, what, inside in _tokens(page):
         if not kind:
-            if whole or not apart:
-                yield ("link word" if links else "word"), what, articles > 0 and not apart
-            continue
-        if what in VOID:
-            if not apart:
-                yield ("break" if what in BLOCKS else "word"), " ", articles > 0
-            continue
-        if kind == "<":
-            gone = _is_apart(what, inside, articles > 0)
-            if not inside.endswith("/"):
-                stack.append((what, gone))
+            events.append(("link word" if open_["a"] else "word", what, articles > 0))
+        elif what in VOID and what in BLOCKS:
+            events.append(("break", what, articles > 0))
+        elif what in VOID:
+            events.append(("word", "" if what == "wbr" else " ", articles > 0))
+        elif kind == "<":
+            if what in BLOCKS and open_["p"]:
+                imply({"p"})
+            if what in SIBLINGS:
+                imply(SIBLINGS[what])
+            element = Element(what, _mark(what, inside, articles > 0), len(events))
+            events.append(("tag", what, articles > 0 or what in ARTICLES))
+            elements.append(element)
+            if inside.endswith("/") and what not in BLOCKS:
+                element.end, element.closed = len(events), True
+            else:
+                stack.append(element)
                 open_[what] += 1
-                apart += gone
-                links += what == "a"
-                articles += what in ("article", "main")
-                if what in CONTAINERS:
-                    number += 1
-                    held.append((number, what))
-            if whole or not apart:
-                yield "tag", what, articles > 0 and not apart
-        elif open_[what]:
-            while True:
-                name, gone = stack.pop()
-                open_[name] -= 1
-                apart -= gone
-                links -= name == "a"
-                articles -= name in ("article", "main")
-                if name in CONTAINERS:
-                    held.pop()
-                if name == what:
-                    break
-            if whole or not apart:
-                yield "tag", what, articles > 0 and not apart
-        if what in BLOCKS:
-            yield "break", what, articles > 0
+                articles += what in ARTICLES
+            if what in BLOCKS:
+                events.append(("break", what, articles > 0))
+        else:
+            if open_[what]:
+                while stack[-1].name != what:
+                    end(stack[-1].name in ENDLESS)
+                events.append(("tag", what, articles > 0))
+                end(True)
+            if what in BLOCKS:
+                events.append(("break", what, articles > 0))
+    while stack:
+        end(stack[-1].name in ENDLESS)
+    tree = Page(events, elements)
+    _set_apart(tree)
+    return tree
+
+
+def _set_apart(page: Page) -> None:
+    """Tell which elements are no part of an article.
+
+    Those marked so are, but for one that holds at least half of the page's words while next to no
+    prose stands outside of all of them: then the mark speaks of the layout, or its end was left out,
+    and what is within is judged by itself.
+    """
+    words = [0]
+    skip = heading_end = outside = 0
+    starts: dict[int, list[Element]] = {}
+    for element in page.elements:
+        starts.setdefault(element.first, []).append(element)
+    for i, (kind, what, _) in enumerate(page.events):
+        for element in starts.get(i, ()):
+            if element.mark:
+                skip = max(skip, element.end)
+            if _HEADING.match(element.name):
+                heading_end = max(heading_end, element.end)
+        n = len(what.split()) if kind == "word" else 0
+        words.append(words[-1] + n)
+        if i >= skip and i >= heading_end:
+            outside += n
+    total = words[-1]
+    skip = 0
+    for element in page.elements:
+        if element.mark and element.first >= skip:
+            size = words[element.end] - words[element.first]
+            strong = element.mark == "strong" and element.closed
+            if 2 * size >= total and size and outside < (10 if strong else max(10, size // 10)):
+                # Something short that a name speaks against stays out.
+                if size >= 60 or not strong:
+                    continue
+            element.apart = True
+            skip = element.end
+
+
+def _shown(page: Page) -> list[int]:
+    """The numbers of the events that stand in no element that is apart."""
+    skips = [e for e in page.elements if e.apart]
+    shown, at, skip = [], 0, 0
+    for i in range(len(page.events)):
+        while at < len(skips) and skips[at].first <= i:
+            skip = max(skip, skips[at].end)
+            at += 1
+        if i >= skip:
+            shown.append(i)
+    return shown
 
 
 def _gram(kind: str, what: str) -> str:
@@ -156,10 +298,12 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             page = value.as_py() or ""
             if "<article" not in page and "<main" not in page:
                 continue
-            for kind, what, content in pieces(page, whole=True):
+            tree = parse(page)
+            shown = set(_shown(tree))
+            for i, (kind, what, content) in enumerate(tree.events):
                 if kind != "break":
                     n = len(what.split()) if kind != "tag" else 1
-                    counts[_gram(kind, what), content] += n
+                    counts[_gram(kind, what), content and i in shown] += n
     keys = [k for k in counts if counts[k]]
     yield pa.record_batch(
         [
@@ -207,70 +351,83 @@ def learn(pages: DataFrame, params: HtmlParams = HtmlParams(), id_col: str = "pa
     return weights
 
 
-def _container(texts: list[str], paths: list[tuple]) -> tuple:
-    """The innermost article with half of the words, else what holds all of them, from outside in."""
-    sizes = Counter()
-    shared = None
-    for text, path in zip(texts, paths):
-        n = len(text.split())
-        if n:
-            both = path if shared is None else shared
-            same = next((i for i, (x, y) in enumerate(zip(both, path)) if x != y), min(len(both), len(path)))
-            shared = both[:same]
-            for i, (_, name) in enumerate(path):
-                if name in ("article", "main"):
-                    sizes[path[: i + 1]] += n
-    total = sum(len(text.split()) for text in texts)
-    holding = [(path[-1][1] == "article", len(path), path) for path, n in sizes.items() if 2 * n >= total]
-    return max(holding)[2] if holding else shared or ()
+def best_run(values: list[float]) -> tuple[int, int]:
+    """The first run of numbers with the largest sum, as a range; an empty one if none is above 0."""
+    best, total, begin = (0.0, 0, 0), 0.0, 0
+    for i, value in enumerate(values):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += value
+        if total > best[0]:
+            best = (total, begin, i + 1)
+    return best[1:]
+
+
+def _container(tree: Page, counts: list[int], first: int, end: int) -> Element | None:
+    """The innermost article with half of the words, else the innermost container that holds all of them.
+
+    `counts` has the words before each event.
+    """
+    total = counts[end] - counts[first]
+    article = around = None
+    for e in tree.elements:
+        if e.apart or e.name not in CONTAINERS:
+            continue
+        if e.name in ARTICLES:
+            n = counts[min(end, e.end)] - counts[max(first, e.first)] if e.first < end and e.end > first else 0
+            better = article is None or e.name == "article" or article.name == "main"
+            if 2 * n >= total and better:
+                article = e
+        if e.first <= first and e.end >= end:
+            around = e
+    return article or around
 
 
 def main_text(page: str | None, weights: dict) -> str:
     """The blocks of the run of words and tags with the largest sum of weights, and of its container.
 
-    Of equal runs the first and longest. A block is kept whole if any of its words is in the run.
+    Of equal runs the first. A block is kept whole if any of its words is in the run.
     If half of the run's words are in one article, that whole article is the text; else the rest of
     the container that holds the whole run comes with it.
     """
-    texts: list[str] = []
-    block = 0
-    best = (0.0, 0, -1)
-    total, begin, at = 0.0, 0, 0
-    blocks: list[int] = []
-    paths: list[tuple] = []
-    held: list[tuple[int, str]] = []
-    for kind, what, _ in pieces(page or "", held=held):
+    tree = parse(page or "")
+    shown = _shown(tree)
+    seen = set(shown)
+    values, counts, blocks, block = [], [0], {}, 0
+    for i, (kind, what, _) in enumerate(tree.events):
+        n = len(what.split()) if "word" in kind and i in seen else 0
+        counts.append(counts[-1] + n)
+        block += kind == "break" or (i not in seen and i - 1 in seen)
+        blocks[i] = block
+    for i in shown:
+        kind, what, _ = tree.events[i]
         if kind == "break":
-            block += 1
-            continue
-        if kind == "tag":
-            value = weights[_gram(kind, what)]
+            values.append(0.0)
+        elif kind == "tag":
+            values.append(weights[_gram(kind, what)])
         else:
-            value = len(what.split()) * weights[kind]
-            texts.append(what)
-            blocks.append(block)
-            paths.append(tuple(held))
-            at = len(texts)
-        if total <= 0:
-            total, begin = 0.0, at - (kind != "tag")
-        total += value
-        if total > best[0]:
-            best = (total, begin, at)
-    if best[2] < 0:
+            values.append((counts[i + 1] - counts[i]) * weights[kind])
+    begin, stop = best_run(values)
+    # The run from its first to its last word.
+    run = [i for i in shown[begin:stop] if counts[i + 1] > counts[i]]
+    if not run:
         return ""
-    first, last = blocks[best[1]], blocks[best[2] - 1]
-    container = _container(texts[best[1] : best[2]], paths[best[1] : best[2]])
-    alone = bool(container) and container[-1][1] in ("article", "main")
+    first, last = run[0], run[-1]
+    box = _container(tree, counts, first, last + 1)
+    alone = box is not None and box.name in ARTICLES
     out: list[list[str]] = []
     before = None
-    for text, b, path in zip(texts, blocks, paths):
-        inside = path[: len(container)] == container if container else not path
-        if inside or (first <= b <= last and not alone):
-            if b != before:
+    for i in shown:
+        kind, what, _ = tree.events[i]
+        if "word" not in kind:
+            continue
+        inside = box is not None and box.first <= i < box.end
+        if inside or (not alone and blocks[first] <= blocks[i] <= blocks[last]):
+            if blocks[i] != before:
                 out.append([])
-                before = b
-            out[-1].append(text)
-    joined = (" ".join(html.unescape("".join(parts)).split()) for parts in out)
+                before = blocks[i]
+            out[-1].append(html.unescape(what))
+    joined = (" ".join("".join(parts).split()) for parts in out)
     return "\n\n".join(x for x in joined if x)
 
 
@@ -284,7 +441,7 @@ def extract(pages: DataFrame, weights: dict) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
             sizes = pa.array(map(len, texts), pa.int64())
