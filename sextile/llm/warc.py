@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
+from .words import slices
 
 # Revisits are broadcast (two numbers each) if they were counted and are no more than this.
 BROADCAST_ROWS = 200_000
-# Keys that the bounds of the merge are chosen from.
-SAMPLED_KEYS = 4096
+# Keys that are sampled for each range of the merge.
+KEYS_PER_RANGE = 16
 
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _NL = b"\r\n"
@@ -28,11 +29,18 @@ _NL = b"\r\n"
 
 @dataclass(frozen=True)
 class WarcParams:
-    """Records of an archive, captures of a merge task, and the least number of merge tasks."""
+    """Records and bytes of an archive, captures of a merge task, and how many ranges there are.
+
+    Only a record that is longer makes an archive longer. The driver parts the keys into at least
+    `ranges` and at most `most_ranges`; if these hold more captures than a task should, each is parted
+    again by tasks.
+    """
 
     file_records: int = 1000
+    file_bytes: int = 32 << 20
     range_captures: int = 50_000
     ranges: int = 32
+    most_ranges: int = 1024
     software: str = "sextile"
     epoch: int = 1_704_067_200
 
@@ -105,8 +113,8 @@ def write_archives(
 
     Of equal payloads the smallest page_id is the response and all others are revisits of it. Null
     html is an empty payload, a null url `about:blank`; rows without an id are left out, and repeated
-    rows are written each. Archives have a bounded number of records, are plain text and hold whole
-    records one after the other.
+    rows are written each. Archives have a bounded number of records and bytes, are plain text and
+    hold whole records one after the other.
     """
     pages = pages.select("page_id", "url", "html").where("page_id is not null")
     digests = scratch.table(
@@ -127,15 +135,24 @@ def write_archives(
     known = pages.join(F.broadcast(revisits) if few else revisits, "page_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to")))
-            # The writer ends every line with \n, so a record's own last one is left to it.
-            records = [record(*row, params)[:-1] for row in rows]
-            yield pa.record_batch([pa.array(records, pa.string())], ["value"])
-
-    known.mapInArrow(run, "value string").write.option("lineSep", "\n").option(
-        "maxRecordsPerFile", params.file_records
-    ).text(path)
+        # Archives of a task are numbered; the writer keeps one open at a time.
+        number = count = size = 0
+        for batch in slices(batches, "html"):
+            texts, numbers = [], []
+            for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "html", "refers_to"))):
+                # The writer ends every line with \n, so a record's own last one is left to it.
+                text = record(*row, params)[:-1]
+                # Characters of two and more bytes count as four.
+                n = len(text) if text.isascii() else 4 * len(text)
+                if count and (count >= params.file_records or size + n > params.file_bytes):
+                    number, count, size = number + 1, 0, 0
+                count, size = count + 1, size + n
+                texts.append(text)
+                numbers.append(number)
+            yield pa.record_batch([pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["part", "value"])
+
+    written = known.mapInArrow(run, "part int, value string").write.partitionBy("part")
+    written.option("lineSep", "\n").text(path)
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -159,6 +176,7 @@ _CAPTURE = (
     " record_type string, payload_digest string, payload_bytes long, refers_to long"
 )
 _FIELDS = [(x.split()[0], x.split()[1]) for x in _CAPTURE.split(", ")]
+_KEY = ("url_key", "timestamp", "page_id", "archive", "position")
 _TYPES = {"string": pa.string(), "long": pa.int64()}
 _ENTRY = pa.struct([(name, _TYPES[kind]) for name, kind in _FIELDS])
 
@@ -188,7 +206,8 @@ def _entry(archive: str, at: int, length: int, headers: dict, payload: bytes) ->
 
 
 def _order(entry: dict) -> tuple:
-    return entry["url_key"], entry["timestamp"], entry["page_id"]
+    """URL key, time and page; the place in the archives tells repeated rows apart."""
+    return tuple(entry[name] for name in _KEY)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +215,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
             archive = path.as_py()
-            name = archive.rsplit("/", 1)[-1]
+            name = "/".join(archive.rsplit("/", 2)[-2:])
             run = sorted((_entry(name, *r) for r in records(content.as_py())), key=_order)
             yield pa.record_batch([pa.array([run], pa.list_(_ENTRY))], ["run"])
 
@@ -237,38 +256,59 @@ class LoserTree:
             self._replay(leaf)
 
 
-def _cut(bounds: list[tuple]):
-    """Each run in pieces, one for every range of keys that it has captures in."""
+def _pieces(entries: list[dict], bounds: list[tuple]) -> Iterator[tuple[int, list[dict]]]:
+    """A sorted run in pieces, one for every range of keys that it has captures in."""
+    keys = [_order(e) for e in entries]
+    at = 0
+    while at < len(entries):
+        place = bisect_right(bounds, keys[at])
+        end = bisect_left(keys, bounds[place], at) if place < len(bounds) else len(entries)
+        yield place, entries[at:end]
+        at = end
+
+
+def _quantiles(keys: list[tuple], parts: int) -> list[tuple]:
+    """Bounds that part sorted keys into ranges of about equal numbers."""
+    return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+
+
+def _cut(bounds: list[tuple] | None):
+    """Runs cut at the bounds: those given for all of them, or those in the rows themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                entries = value.as_py()
-                keys = [_order(e) for e in entries]
-                number, pieces, at = [], [], 0
-                while at < len(entries):
-                    place = bisect_right(bounds, keys[at])
-                    end = len(entries)
-                    if place < len(bounds):
-                        end = bisect_left(keys, bounds[place], at)
-                    number.append(place)
-                    pieces.append(entries[at:end])
-                    at = end
+            runs = batch.column("run")
+            for i in range(batch.num_rows):
+                if bounds is None:
+                    inner = [_order(e) for e in batch.column("bounds")[i].as_py() or ()]
+                    base = batch.column("range")[i].as_py()
+                    cut = [(base, n, piece) for n, piece in _pieces(runs[i].as_py(), inner)]
+                else:
+                    cut = [(n, 0, piece) for n, piece in _pieces(runs[i].as_py(), bounds)]
+                outer, number, pieces = zip(*cut) if cut else ((), (), ())
                 yield pa.record_batch(
-                    [pa.array(number, pa.int64()), pa.array(pieces, pa.list_(_ENTRY))],
-                    ["range", "run"],
+                    [pa.array(outer, pa.int64()), pa.array(number, pa.int64()), pa.array(pieces, pa.list_(_ENTRY))],
+                    ["range", "part", "run"],
                 )
 
     return run
 
 
+def _sampled(runs: DataFrame, total: int, wanted: int, *more: str) -> DataFrame:
+    """About so many keys of all captures, by hash; the place in the archives spreads repeated rows."""
+    entries = runs.select(*more, F.explode("run").alias("e")).select(*more, *(f"e.{k}" for k in _KEY))
+    every = max(1, total // max(1, wanted))
+    return entries.where(F.pmod(F.xxhash64("page_id", "archive", "position"), F.lit(every)) == 0)
+
+
 def _merged(table: pa.Table) -> pa.Table:
     runs = table.column("run").to_pylist()
     merged = list(LoserTree(runs, _order))
     columns = {
         name: pa.array([e[name] for e in merged], _TYPES[kind]) for name, kind in _FIELDS
     }
-    columns["range"] = pa.array([table.column("range")[0].as_py()] * len(merged), pa.int64())
+    for name in ("range", "part"):
+        columns[name] = pa.array([table.column(name)[0].as_py()] * len(merged), pa.int64())
     columns["place"] = pa.array(range(len(merged)), pa.int64())
     return pa.table(columns)
 
@@ -279,23 +319,41 @@ def capture_index(
     """Every record of the archives under `path` in the order of URL key, time and page.
 
     Columns: `url_key`, `timestamp` (14 digits), `page_id`, `archive`, `position` and `length` in
-    bytes, `record_type`, `payload_digest`, `payload_bytes`, `refers_to`, and `range` and `place`:
-    sorted by these two, the captures of each URL follow one another in order of time.
-
-    Each archive gives one sorted run. Keys sampled from all runs, a bounded number, part the key
-    space, also within one URL; every run is cut at these bounds, and the pieces of a range are
-    merged by a tree of losers. A folder without records gives no rows.
+    bytes, `record_type`, `payload_digest`, `payload_bytes`, `refers_to`, and `range`, `part` and
+    `place`: sorted by these three, the captures of each URL follow one another in order of time.
+
+    Each archive gives one sorted run. Keys sampled by hash from all runs part the key space, also
+    within one URL: first into ranges, whose number and keys on the driver are bounded, then each of
+    these into parts of about `range_captures`, by keys that only its own task sees. Every run is cut at
+    these bounds, and the pieces of a part are merged by a tree of losers. A folder without records
+    gives no rows.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     entry = "array<struct<" + ", ".join(f"{n}: {k}" for n, k in _FIELDS) + ">>"
-    runs = scratch.table(files.mapInArrow(_runs, f"run {entry}"), "runs")
+    read = files.select("path", "content").mapInArrow(_runs, f"run {entry}")
+    runs = scratch.table(read, "runs")
     total = runs.agg(F.sum(F.size("run"))).first()[0] or 0
-    parts = max(params.ranges, -(-total // params.range_captures))
-    keys = runs.select(F.explode("run").alias("e")).select("e.url_key", "e.timestamp", "e.page_id")
-    sample = sorted(
-        tuple(r)
-        for r in keys.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLED_KEYS).collect()
+    tasks = max(params.ranges, -(-total // params.range_captures))
+    outer = min(tasks, max(1, params.most_ranges))
+    sample = _sampled(runs, total, KEYS_PER_RANGE * outer).collect()
+    bounds = _quantiles(sorted(map(tuple, sample)), outer)
+    kind = f"range long, part long, run {entry}"
+    pieces = runs.mapInArrow(_cut(bounds), kind)
+    inner = -(-tasks // outer)
+    if inner > 1:
+        pieces = scratch.table(pieces, "pieces")
+        keys = _sampled(pieces, total, KEYS_PER_RANGE * outer * inner, "range")
+        found = keys.groupBy("range").agg(F.sort_array(F.collect_list(F.struct(*_KEY))).alias("keys"))
+        # Every n-th of the sorted keys, so that no range has more than its parts.
+        places = F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(inner - 1)),
+                lambda i: F.element_at("keys", (F.floor(i * F.size("keys") / inner) + 1).cast("int")),
+            )
+        )
+        inside = found.select("range", places.alias("bounds"))
+        pieces = pieces.join(inside, "range", "left").select("range", "run", "bounds")
+        pieces = pieces.mapInArrow(_cut(None), kind)
+    return pieces.groupBy("range", "part").applyInArrow(
+        _merged, _CAPTURE + ", range long, part long, place long"
     )
-    bounds = sorted({sample[i * len(sample) // parts] for i in range(1, parts)} if sample else ())
-    pieces = runs.mapInArrow(_cut(bounds), f"range long, run {entry}")
-    return pieces.groupBy("range").applyInArrow(_merged, _CAPTURE + ", range long, place long")

@@ -175,14 +175,24 @@ def test_licences(spark):
     }
 
 
-def test_warc(spark, scratch):
+@pytest.mark.parametrize(
+    "params",
+    [warc.WarcParams(file_records=7), warc.WarcParams(file_bytes=900, range_captures=4, ranges=2, most_ranges=3)],
+)
+def test_warc(spark, scratch, params):
     odd = [(5, None, None), (2, "http://[bad", ""), (9, "http://a b\r\nc/", "WARC/1.1\r\n\r\nx")]
     odd += [(7, "http://www.A.org/Q?x", "WARC/1.1\r\n\r\nx"), (8, "http://a.org/", "é\r\n"), (None, "u", "h")]
     odd += [(i, "http://hot.org/", f"page {i % 3}") for i in range(100, 160)]
+    odd += [(170, "http://hot.org/", "again")] * 20
     path = scratch.path("archives")
     pages = spark.createDataFrame(odd, "page_id long, url string, html string")
-    warc.write_archives(pages, path, scratch, warc.WarcParams(file_records=7))
-    rows = warc.capture_index(spark, path, scratch).orderBy("range", "place").collect()
+    warc.write_archives(pages, path, scratch, params)
+    index = warc.capture_index(spark, path, scratch, params)
+    rows = index.orderBy("range", "part", "place").collect()
+    sizes = index.groupBy("archive").agg({"length": "sum", "*": "count"}).collect()
+    assert all(r["sum(length)"] <= params.file_bytes and r["count(1)"] <= params.file_records for r in sizes)
+    if params.range_captures == 4:
+        assert index.groupBy("range", "part").count().where("count > 30").isEmpty()
     keys = [(r.url_key, r.timestamp, r.page_id) for r in rows]
     assert keys == sorted(keys) and len(keys) == len(odd) - 1
     first = {}
