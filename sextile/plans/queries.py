@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import ARTICLE_COLUMNS, DESCRIPTION, HEADLINE, LABEL, TAGS
-from ..functions.text import terms, tokens
+from ..functions.text import has_text, terms, tokens
 from ..functions.times import instant
 from ..operators import analytics, features, metrics, registry, vocabulary
 from ..operators.split import Split, split_counts, stratified_split
@@ -581,6 +582,25 @@ def train_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.category_report(report).select("category", "support")
 
 
+def share_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a forest of shares says of itself: rows fitted, those of all shares, and broken bounds."""
+    rows = spread(articles(spark, sf_dir), "article_id")
+    n = rows.where(has_text(*ARTICLE_COLUMNS[:3])).count()
+    bound = -(-n // 3)
+    trained = training.train(rows, "article_id", params=replace(SMALL, share_rows=bound))
+    record = trained.metadata
+    scored = scoring.score(trained.model, documents(spark, sf_dir), probabilities=True)
+    odds = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, p: a + p)
+    return scored.agg(
+        F.lit(record["n_train"]).cast("long").alias("n_train"),
+        F.lit(sum(record["fit_shares"])).cast("long").alias("n_fitted"),
+        F.lit(sum(x > bound for x in record["fit_shares"])).cast("long").alias("n_over"),
+        F.lit(record["n_trees"] - SMALL.num_trees).cast("long").alias("n_trees_off"),
+        F.count_if(F.col("text").isNotNull()).alias("n_scored"),
+        F.count_if(F.abs(odds - 1.0) >= 1e-9).alias("n_bad"),
+    )
+
+
 def rank_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, rows and violations of the ranked probabilities of all turns."""
     classes = scoring.classes_of(small_model(spark, sf_dir).model)
@@ -714,6 +734,7 @@ ALL: dict[str, Query] = {
     "score_batch": score_batch,
     "score_probabilities": score_probabilities,
     "train_support": train_support,
+    "share_contract": share_contract,
     "rank_contract": rank_contract,
     "score_contract": score_contract,
     "score_log": score_log,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -43,6 +43,10 @@ FRAMEWORK = "Spark ML"
 FIT_PARTITIONS = 8
 
 
+# The number of a row's share.
+SHARE = "share"
+
+
 @dataclass(frozen=True)
 class ForestParams:
     """Settings of features and forest.
@@ -55,6 +59,8 @@ class ForestParams:
     rows splits together: more memory, fewer passes.
     `max_fit_rows` bounds the labelled rows that the forest is fitted on, drawn with exact shares of
     the classes; vocabulary and evaluation see all rows. There is no bound by default.
+    `share_rows` bounds the rows of one fit instead, and uses them all: the trees are dealt out to as
+    many disjoint shares of the rows as that takes, and make one forest. There is one share by default.
     """
 
     num_trees: int = NUM_TREES
@@ -70,6 +76,7 @@ class ForestParams:
     fit_partitions: int | None = None
     max_memory_mb: int = 256
     max_fit_rows: int | None = None
+    share_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -131,8 +138,14 @@ def train(
             fit_words, n_fit = _drawn(train_words, id_col, label_col, params)
         labelled = f.label_indexer(split.classes, label_col).transform(fit_words)
         vectors = PipelineModel(to_vectors).transform(labelled)
-        partitions = params.fit_partitions or fit_partitions(n_fit, len(vocabulary.terms))
-        forest = fit_forest(vectors, id_col, params, partitions)
+        shares = [n_fit]
+        if params.share_rows and n_fit > params.share_rows:
+            vectors, shares = _shared_out(vectors, id_col, params, n_fit, scratch)
+        partitions = params.fit_partitions or fit_partitions(max(shares), len(vocabulary.terms))
+        if len(shares) == 1:
+            forest = fit_forest(vectors, id_col, params, partitions)
+        else:
+            forest = fit_shares(vectors, id_col, params, partitions, len(shares))
         to_label = IndexToString(inputCol=f.INDEX, outputCol=f.PREDICTED, labels=split.classes)
         model = PipelineModel([f.token_stage(params.stop_words), *to_vectors, forest, to_label])
 
@@ -150,6 +163,7 @@ def train(
         training_time=time.monotonic() - started,
     )
     metadata |= {"n_fit": n_fit, "n_nodes": forest.totalNumNodes, "fit_partitions": partitions}
+    metadata |= {"n_trees": forest.getNumTrees, "fit_shares": shares}
     progress("done")
     return TrainedModel(model, metadata, counts)
 
@@ -175,6 +189,60 @@ def _drawn(rows: DataFrame, id_col: str, label_col: str, params: ForestParams):
     return drawn.rows.where("split = 'train'"), drawn.n_train
 
 
+def _shared_out(
+    vectors: DataFrame, id_col: str, params: ForestParams, n_rows: int, scratch: Scratch
+) -> tuple[DataFrame, list[int]]:
+    """The vectors in a table with a partition for each share, and how many rows each has.
+
+    Shares are dealt by hash of the key, so classes keep their proportions. They are counted, and made
+    smaller until the largest is within the bound. One shuffle of vectors, none of texts.
+    """
+    key = F.xxhash64(F.lit(params.seed), F.col(id_col).cast("string"))
+    n = -(-n_rows // params.share_rows)
+    while True:
+        place = F.pmod(key, F.lit(n)).cast("int").alias(SHARE)
+        sizes = [r["count"] for r in vectors.groupBy(place).count().collect()]
+        if max(sizes) <= params.share_rows:
+            break
+        n += max(1, n // 16)
+    if n > params.num_trees:
+        raise ValueError(f"share_rows asks for {n} shares, and there are {params.num_trees} trees")
+    rows = vectors.select(id_col, f.LABEL_INDEX, f.FEATURES, place)
+    path = scratch.path("shares")
+    rows.hint("rebalance", SHARE).write.partitionBy(SHARE).parquet(path)
+    return vectors.sparkSession.read.schema(rows.schema).parquet(path), sizes
+
+
+def fit_shares(
+    vectors: DataFrame, id_col: str, params: ForestParams, partitions: int, n: int
+) -> RandomForestClassificationModel:
+    """One forest of trees that were fitted on a share of the rows each, one share after the other.
+
+    Trees vote with their leaf's class shares, so the probabilities are the mean over all trees, as in
+    any forest; scoring, storing and single texts know no difference.
+    """
+    jvm = vectors.sparkSession._jvm
+    trees, forests = [], []
+    for i in range(n):
+        own = replace(
+            params, seed=params.seed + i, num_trees=params.num_trees // n + (i < params.num_trees % n)
+        )
+        forests.append(fit_forest(vectors.where(F.col(SHARE) == i), id_col, own, partitions))
+        trees += list(forests[-1]._java_obj.trees())
+    first = forests[0]
+    # PySpark has no call that joins forests; the model of the JVM is made of its trees.
+    kind = jvm.org.apache.spark.ml.classification
+    array = vectors.sparkSession.sparkContext._gateway.new_array(
+        kind.DecisionTreeClassificationModel, len(trees)
+    )
+    for i, tree in enumerate(trees):
+        array[i] = tree
+    joined = kind.RandomForestClassificationModel(first.uid, array, first.numFeatures, first.numClasses)
+    first._java_obj.copyValues(joined, first._java_obj.extractParamMap())
+    joined.set(joined.numTrees(), len(trees))
+    return RandomForestClassificationModel(joined)
+
+
 def fit_partitions(n_rows: int, n_terms: int) -> int:
     """Partitions for the fit, from the data alone: a few, more once one would be over 1 GB."""
     return max(FIT_PARTITIONS, -(-n_rows * n_terms * 4 // 2**30))

@@ -209,3 +209,25 @@ def test_names_with_dots_and_results_in_place(spark, trained):
     assert scored.columns == ["confidence", "a.b", "c d`e", "text", "predicted_category"]
     row = scored.first()
     assert isinstance(row[0], float) and row[1:4] == (1, "old", "a text")
+
+
+def test_shares_make_one_forest(spark, folder):
+    """All rows are fitted in shares within the bound, and the forest is as good as a single one."""
+    labelled = queries.articles(spark, SF.replace("0.001", "0.01"))
+    params = replace(queries.SMALL, num_trees=20)
+    whole = train(labelled, "article_id", params=params)
+    parts = train(labelled, "article_id", params=replace(params, share_rows=300))
+    record = parts.metadata
+    assert sum(record["fit_shares"]) == record["n_train"] == record["n_fit"]
+    assert len(record["fit_shares"]) >= 3 and max(record["fit_shares"]) <= 300
+    assert record["n_trees"] == 20 and record["n_nodes"] < whole.metadata["n_nodes"]
+    assert record["accuracy"] >= whole.metadata["accuracy"] - 0.05
+    text = "senate vote on the bank"
+    bundle.save_model(spark, parts.model, record, folder, "shares")
+    again = bundle.load_model(spark, folder, "shares")[0]
+    texts = spark.createDataFrame([(text,)], "text string")
+    rows = [score(m, texts, probabilities=True).first() for m in (parts.model, again)]
+    assert rows[0] == rows[1]
+    assert predict(spark, again, text)["confidence"] == pytest.approx(rows[0].confidence)
+    with pytest.raises(ValueError, match="shares"):
+        train(labelled, "article_id", params=replace(params, share_rows=10))
