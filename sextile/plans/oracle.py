@@ -449,6 +449,7 @@ ALL |= {
     "csv_split": ALL["csv_articles"],
     "log_retry": ALL["log_texts"],
     "log_compacted": ALL["score_log"],
+    "log_catalog": ALL["log_store"],
     "rollup_live": ALL["prediction_stats"],
     "train_support": _with(
         "split_articles",

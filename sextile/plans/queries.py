@@ -14,7 +14,7 @@ from ..functions.text import has_text, terms, tokens
 from ..functions.times import instant
 from ..operators import analytics, features, metrics, registry, vocabulary
 from ..operators.split import Split, split_counts, stratified_split
-from ..sources import bundle, csv, store
+from ..sources import bundle, catalog, csv, store
 from ..sources.shared import materialize, new_path, spread
 from ..streaming import jobs
 from . import rollup as stored
@@ -233,6 +233,24 @@ def log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_log(spark, log_path).select("id", "text", "model_version")
 
 
+def log_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of plain appends, a named batch and compactions, read through its catalog table."""
+    log_path, _ = store.create_tables(spark, new_path(spark, "store"))
+    table = "log_" + log_path.split("-")[-1].split("/")[0]
+    rows = store.log_rows(
+        views.prediction_log(spark, sf_dir), "id", version="Random Forest", timestamp_col="timestamp"
+    )
+    part = F.pmod("id", F.lit(3))
+    store.append_predictions(rows.where(part == 0), log_path, many_days=True)
+    catalog.publish_log(spark, log_path, table)
+    store.append_predictions(rows.where(part == 1), log_path, many_days=True, batch="second")
+    store.compact_log(spark, log_path)
+    store.append_predictions(rows.where(part == 2), log_path, many_days=True)
+    logged = catalog.publish_log(spark, log_path, table)
+    columns = ["id", "text", "predicted_category", "confidence", "model_version", "date"]
+    return rounded(logged.select(*columns), ["confidence"])
+
+
 # --- labelled articles ------------------------------------------------------------------------
 
 
@@ -698,6 +716,7 @@ ALL: dict[str, Query] = {
     "summary_between": summary_between,
     "log_retry": log_retry,
     "log_compacted": log_compacted,
+    "log_catalog": log_catalog,
     "label_distribution": label_distribution,
     "dataset_shape": dataset_shape,
     "dataset_preview": dataset_preview,

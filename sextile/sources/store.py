@@ -150,20 +150,28 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], LOG_SCHEMA)
 
 
-def compact_log(spark: SparkSession, path: str, below: int = 64 << 20) -> int:
+def compact_log(
+    spark: SparkSession, path: str, below: int = 64 << 20, always: bool = False
+) -> int:
     """Merge the files of the log that are smaller than `below` bytes; returns how many they were.
 
     The merged rows are written first; then a manifest with the names of the files they replace comes
     into force in one step. Readers see every row once at any time, and writers and running streams
     go on undisturbed. Of two compactions at once, the second fails and changes nothing. The replaced files stay
     for readers that have started, until `expire_replaced`.
+
+    With `always`, no file is merged for its size, but those of streams are, and those whose day and
+    folder have replaced files too, so that all that is live stands in folders of live files alone.
     """
     manifest = _manifest(spark, path)
     merged = set(manifest["files"])
     folders = _folders(spark, path, manifest)
-    small = {f: [x for x in _live(spark, f, merged) if _size(spark, x) < below] for f in folders}
+    if always:
+        small = {f: _beside_replaced(spark, path, f, merged) for f in folders}
+    else:
+        small = {f: [x for x in _live(spark, f, merged) if _size(spark, x) < below] for f in folders}
     count = sum(map(len, small.values()))
-    if count < 2:
+    if count < (1 if always else 2):
         return 0
     reader = spark.read.schema(LOG_SCHEMA)
     rows = reduce(
@@ -184,6 +192,43 @@ def compact_log(spark: SparkSession, path: str, below: int = 64 << 20) -> int:
     return count
 
 
+def _beside_replaced(spark: SparkSession, path: str, folder: str, merged: set[str]) -> list[str]:
+    """Live files of a stream, or of a day of which other files in the folder are replaced."""
+    live = _live(spark, folder, merged)
+    if folder.startswith(f"{path}/{STREAMS}/"):
+        return live
+    replaced = {_day(x) for x in _files(spark, folder) if _file_key(x) in merged}
+    return [x for x in live if _day(x) in replaced]
+
+
+def _day(file: str) -> str:
+    return unquote(file).split("/")[-2]
+
+
+def live_partitions(spark: SparkSession, path: str) -> list[tuple[str, date, str]]:
+    """(folder's name, day, path) of all days of all folders that have live files.
+
+    Right after `compact_log` with `always`; days that have replaced files beside live ones, which come
+    with later compactions, are an error.
+    """
+    manifest = _manifest(spark, path)
+    merged = set(manifest["files"])
+    found: dict[tuple[str, str], str] = {}
+    for folder in _folders(spark, path, manifest):
+        if folder.startswith(f"{path}/{STREAMS}/"):
+            continue
+        if _beside_replaced(spark, path, folder, merged):
+            raise RuntimeError("the log was compacted meanwhile")
+        part = folder[len(path) :].strip("/").replace("/", ".") or "own"
+        for file in _live(spark, folder, merged):
+            found[part, _day(file)] = unquote(file).rsplit("/", 1)[0]
+    return [
+        (part, date.fromisoformat(day.removeprefix("date=")), where)
+        for (part, day), where in found.items()
+        if day.removeprefix("date=")[:1].isdigit()
+    ]
+
+
 def expire_replaced(spark: SparkSession, path: str) -> None:
     """Delete the files that compactions have replaced, once no reader from before is left."""
     manifest = _manifest(spark, path)

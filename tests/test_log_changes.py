@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextile.operators import analytics
 from sextile.plans import queries, rollup, scoring
-from sextile.sources import bundle, store
+from sextile.sources import bundle, catalog, store
 from sextile.sources.shared import children, new_path, read_text, write_text
 from sextile.streaming import jobs
 
@@ -185,3 +185,46 @@ def test_one_text_equals_the_frame(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     with pytest.raises(ValueError):
         scoring.predict(spark, model, None)
+
+
+def test_catalog_tables_follow_the_log(spark, folder):
+    path, registry_path = store.create_tables(spark, folder)
+    name = "log_" + folder.rsplit("/", 1)[-1].replace("-", "_").lower() + "_catalog"
+
+    def seen():
+        return sorted(r.id for r in spark.table(name).select("id").collect())
+
+    assert catalog.publish_log(spark, path, name).count() == 0
+    store.append_predictions(rows(spark, range(30)), path)
+    store.append_predictions(rows(spark, range(30, 50)), path, batch="a'b")
+    catalog.publish_log(spark, path, name)
+    assert seen() == ids(spark, path) == [*range(50)]
+    # Plain appends to a day that a compaction has merged stand beside replaced files.
+    store.compact_log(spark, path)
+    store.append_predictions(rows(spark, range(50, 60)), path)
+    catalog.publish_log(spark, path, name)
+    assert seen() == ids(spark, path) == [*range(60)]
+    store.expire_replaced(spark, path)
+    catalog.publish_log(spark, path, name)
+    assert seen() == [*range(60)]
+    one_day = spark.sql(f"SELECT id FROM {name} WHERE date = DATE '2024-01-02'")
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and one_day.count() == 20
+    assert len(one_day.inputFiles()) < len(spark.table(name).inputFiles())
+    size = one_day._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < spark.table(name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**40
+    spark.sql(f"DROP TABLE {name}")
+    assert ids(spark, path) == [*range(60)]
+    runs = catalog.publish_registry(spark, registry_path, f"{name}_runs")
+    assert runs.count() == 0 and runs.columns == store.REGISTRY_SCHEMA.names
+
+
+def test_catalog_has_what_streams_wrote(spark, folder):
+    path, _ = store.create_tables(spark, f"{folder}/store")
+    name = "log_" + folder.rsplit("/", 1)[-1].replace("-", "_").lower() + "_streams"
+    model = queries.small_model(spark, SF).model
+    source = queries._source_stream(spark, SF, "documents")
+    store.append_predictions(rows(spark, [-1, -2]), path)
+    jobs.stream_scores(model, source, path, f"{folder}/cp", "doc_id", available_now=True).awaitTermination()
+    catalog.publish_log(spark, path, name)
+    assert sorted(r.id for r in spark.table(name).collect()) == ids(spark, path)
