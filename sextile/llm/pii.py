@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
+# What the network finds: the same, and keys and tokens, which no fixed pattern knows.
+ALL_KINDS = (*KINDS, "secret")
 # What every kind of personal data has at least one of; the network looks at all text around it.
 TRIGGERS = "0123456789@"
 
@@ -97,7 +101,7 @@ def base_spans(text: str | None) -> list[Span]:
 
 
 def span_order(span: Span) -> tuple:
-    return span[1], KINDS.index(span[0]), span[2]
+    return span[1], ALL_KINDS.index(span[0]), span[2]
 
 
 def spelled(spans: list[Span]) -> str:
@@ -107,9 +111,9 @@ def spelled(spans: list[Span]) -> str:
 # --- the network ------------------------------------------------------------------------------
 
 # Characters by class: each mark that personal data is made of, digits, letters, space, the rest.
-_MARKS = "@.-+()_%:/"
+_MARKS = "@.-+()_%:/=\"'"
 N_CLASSES = len(_MARKS) + 5
-N_TAGS = 2 * len(KINDS) + 1  # outside, then first and further characters of each kind
+N_TAGS = 2 * len(ALL_KINDS) + 1  # outside, then first and further characters of each kind
 
 
 def classes(text: str) -> np.ndarray:
@@ -141,7 +145,7 @@ def tags_of(spans: list[Span], length: int) -> np.ndarray:
     out = np.zeros(length, np.int64)
     for kind, start, end in spans:
         if not out[start:end].any():
-            out[start:end] = 2 * KINDS.index(kind) + 2
+            out[start:end] = 2 * ALL_KINDS.index(kind) + 2
             out[start] -= 1
     return out
 
@@ -149,7 +153,7 @@ def tags_of(spans: list[Span], length: int) -> np.ndarray:
 def spans_of(tags: np.ndarray) -> list[Span]:
     out: list[Span] = []
     for i in np.flatnonzero(tags).tolist():
-        kind, first = KINDS[(tags[i] - 1) // 2], tags[i] % 2 == 1
+        kind, first = ALL_KINDS[(tags[i] - 1) // 2], tags[i] % 2 == 1
         if out and out[-1][0] == kind and out[-1][2] == i and not first:
             out[-1] = (kind, out[-1][1], i + 1)
         else:
@@ -294,6 +298,32 @@ def fit(x: np.ndarray, tags: np.ndarray, params: PiiParams) -> BiLstmCrf:
 
 # --- training windows and decoding ------------------------------------------------------------
 
+# Assignments that label keys and tokens; the network learns them without the words and quotes too.
+_ASSIGNED = re.compile(
+    r"(?i)\b(?:token|secret|passw(?:or)?d|(?:api|access|secret)[ _-]?key)\b[\"']?\s?[:=]\s?([\"'])([^\s\"']{12,})\1"
+)
+# Characters of a key or token, and the least number of them.
+_KEY_RUN = re.compile(r"[A-Za-z0-9_+/=-]+")
+KEY_LENGTH = 20
+_HEX, _MIXED = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def labelled_spans(text: str | None) -> list[Span]:
+    """Spans to learn from: those of the fixed patterns, and assigned keys and tokens."""
+    given = base_spans(text)
+    keys = [("secret", m.start(2), m.end(2)) for m in _ASSIGNED.finditer(text or "") if _is_key(m[2])]
+    free = [k for k in keys if all(k[2] <= s[1] or k[1] >= s[2] for s in given)]
+    return sorted(given + free, key=span_order)
+
+
+def _is_key(piece: str) -> bool:
+    """Letters and digits that change often, as in no word, number or address."""
+    if len(piece) < KEY_LENGTH or not _KEY_RUN.fullmatch(piece):
+        return False
+    kinds = ["9" if c.isdigit() else "a" for c in piece if c.isalnum()]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return changes >= len(piece) // 8 and {"9", "a"} <= set(kinds)
+
 
 def _varied(text: str, span: Span, rng: np.random.Generator) -> tuple[str, Span]:
     """The same piece of personal data as people also write it, beyond the fixed patterns."""
@@ -307,6 +337,14 @@ def _varied(text: str, span: Span, rng: np.random.Generator) -> tuple[str, Span]
         sep = rng.choice([".", "  ", "/", " - "])
         digits = _digits(piece)
         piece = sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    elif kind == "secret":
+        # Another value behind another mark, in other quotes or none.
+        letters = list(rng.choice([_HEX, _MIXED, _HEX.upper()]))
+        piece = "".join(rng.choice(letters, rng.integers(KEY_LENGTH, 56)))
+        mark, quote = rng.choice([" ", "=", ": ", " = "]), rng.choice(["", '"', "'"])
+        before = text[:start].rstrip("\"' =:") + mark + quote
+        text = before + text[start:end] + quote + " " + text[end:].lstrip("\"' ")
+        start, end = len(before), len(before) + end - start
     else:
         # Without the plus, and with or without what follows it directly.
         piece = piece[1:] if rng.random() < 0.7 else piece.replace("+", "00", 1)
@@ -319,7 +357,7 @@ def _labelled_rows(params: PiiParams):
             out = []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py()
-                for kind, start, end in base_spans(text):
+                for kind, start, end in labelled_spans(text):
                     # Where in its window a span stands depends on it alone.
                     lead = (start * 7 + (doc_id or 0)) % (params.window // 2)
                     low = max(0, start - lead)
@@ -339,9 +377,11 @@ _LABELLED = pa.schema(
 
 
 def learn(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) -> BiLstmCrf:
-    """Fit the network to spans that the fixed patterns label in a bounded sample of windows.
+    """Fit the network to labelled spans in a bounded sample of windows.
+
+    Labels are the matches of the fixed patterns, and keys and tokens where a text assigns one to a name.
 
-    The sample holds as many windows of each kind as there are, up to a quarter of `train_windows`,
+    The sample holds as many windows of each kind as there are, up to a fifth of `train_windows`,
     those of least hash. Half of them are rewritten into other spellings of the same data, with the
     label kept, so that the network learns more than the patterns know.
     """
@@ -356,18 +396,18 @@ def learn(docs: DataFrame, scratch: Scratch, params: PiiParams = PiiParams()) ->
     rng = np.random.default_rng(params.seed)
     x, y = [], []
     rows = []
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         rows += (
             found.where(F.col("kind") == kind)
             .orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place")
-            .limit(params.train_windows // len(KINDS))
+            .limit(params.train_windows // len(ALL_KINDS))
             .collect()
         )
     for row in rows:
         text, span = row["text"], (row["kind"], row["start"], row["end"])
         if rng.random() < 0.5:
             text, span = _varied(text, span, rng)
-        around = [s for s in base_spans(text) if s[2] <= span[1] or s[1] >= span[2]]
+        around = [s for s in labelled_spans(text) if s[2] <= span[1] or s[1] >= span[2]]
         tags = tags_of(sorted([span, *around], key=lambda s: s[1]), max(len(text), params.window))
         padded = np.full(len(tags), N_CLASSES - 1, np.int64)
         padded[: len(text)] = classes(text)
@@ -420,17 +460,43 @@ def _valid(kind: str, piece: str) -> bool:
         return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", x) for x in parts) and _is_ip(".".join(parts))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "secret":
+        return _is_key(piece)
     return 9 <= len(digits) <= 15 and len(piece) <= 2 * len(digits)
 
 
+def _run_around(text: str, start: int, end: int) -> tuple[int, int]:
+    """The run of characters of a key that holds the longest one within a range."""
+    runs = [m.span() for m in _KEY_RUN.finditer(text, start, end)]
+    if not runs:
+        return start, end
+    start, end = max(runs, key=lambda r: r[1] - r[0])
+    while start and _KEY_RUN.match(text[start - 1]):
+        start -= 1
+    return start, _KEY_RUN.match(text, start).end()
+
+
 def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
-    """Spans of the network that meet no base span and can be personal data."""
-    out = []
+    """Spans of the network that meet no base span, nor each other, and can be personal data."""
+    starts = [s[1] for s in base]
+    ends = list(accumulate((s[2] for s in base), max))
+    out: list[Span] = []
+    seen = 0
     for kind, start, end in spans_of(tags):
+        if kind == "secret":
+            if start < seen:
+                continue
+            # The whole run of characters, if the network saw half of it as one.
+            low, seen = _run_around(text, start, end)
+            if 2 * (end - start) < seen - low:
+                continue
+            start, end = low, seen
         piece = text[start:end]
         start += len(piece) - len(piece.lstrip())
         end -= len(piece) - len(piece.rstrip())
-        if _valid(kind, text[start:end]) and all(end <= s[1] or start >= s[2] for s in base):
+        before = bisect_left(starts, end)
+        free = not before or ends[before - 1] <= start
+        if free and (not out or out[-1][2] <= start) and _valid(kind, text[start:end]):
             out.append((kind, start, end))
     return out
 
@@ -442,7 +508,7 @@ def find(
     """One row per document: `doc_id`, `base` and `added`, arrays of (kind, start, end).
 
     Places are code points, ends exclusive. Base spans are all matches of the fixed patterns; added
-    ones come from the network and never overlap them. Null and empty texts have none. Rows may
+    ones come from the network, keys and tokens (`secret`) among them, and never overlap. Null and empty texts have none. Rows may
     repeat; other columns are not read; no rows give no rows.
 
     The network sees every window of a whole text that has a digit or an `@`; without one nothing

@@ -90,6 +90,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             *counts,
             F.sha2(_spelled("base"), 256).alias("base_sha256"),
             _spelled(F.concat("base", "added")).alias("spans"),
+            F.size(F.expr("filter(added, s -> s.kind = 'secret')")).cast("long").alias("n_secret"),
         )
 
     return settled(spark, "private", build)
@@ -97,7 +98,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spelled(spans) -> F.Column:
     """kind:start:end by start and kind, joined by commas."""
-    kinds = F.array(*map(F.lit, pii.KINDS))
+    kinds = F.array(*map(F.lit, pii.ALL_KINDS))
     keyed = F.transform(
         spans, lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]), s["end"], s["kind"])
     )
