@@ -81,6 +81,12 @@ def bigrams_sql(tokens: str) -> str:
     )
 
 
+def neighbours_sql(tokens: str, value: str) -> str:
+    """SQL for an array of `value`, an expression of `a` and `b`, for neighbouring words a and b."""
+    n = f"greatest(size({tokens}) - 1, 0)"
+    return f"zip_with(slice({tokens}, 1, {n}), slice({tokens}, 2, {n}), (a, b) -> {value})"
+
+
 def terms_sql(tokens: str) -> str:
     """SQL for words followed by word pairs."""
     return f"concat({tokens}, {bigrams_sql(tokens)})"

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_DF, MAX_FEATURES, MIN_DF
-from ..functions.text import bigrams
-from ..sources.shared import BROADCAST_BYTES, BROADCAST_ROWS, Scratch, materialize
+from ..functions.text import bigrams, neighbours_sql
+from ..sources.shared import Scratch
+
+# Most buckets of the sketch of pair counts: one long each for a map task, one bit each for a plan.
+PAIR_BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -62,26 +65,59 @@ def term_counts(
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
     max_features: int | None = MAX_FEATURES,
-    save: Callable[[DataFrame, str], DataFrame] = materialize,
+    save: Callable[[DataFrame, str], DataFrame] = lambda counts, name: counts,
+    pair_buckets: int = PAIR_BUCKETS,
 ) -> DataFrame:
     """Counts of all words and pairs that can be among the `max_features` most frequent.
 
-    A pair is no more frequent than either of its words. Once `max_features` admissible words
-    occur at least t times, a pair with a rarer word cannot enter the vocabulary, so only pairs
-    of frequent words are shuffled: the number of distinct pairs, which has no useful bound,
-    falls to the square of a small word list. With `max_features=None` nothing is left out.
-    The word counts are read several times, so `save` writes them once.
+    Once `max_features` admissible words occur at least t times, no pair that occurs less often can
+    enter the vocabulary. Pairs are counted by bucket of their hash first (`frequent_pairs`), which
+    never counts a pair too low, so that those of light buckets are left out before any string is
+    made, sorted or shuffled. That is exact for any number of buckets. With `max_features=None`
+    nothing is left out. The word counts are read several times; `save` may write them once.
     """
     admissible = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs))
     words = count_terms(occurrences(docs, tokens))
-    pairs = occurrences(docs, bigrams(tokens))
+    pairs = bigrams(tokens)
     if max_features is not None:
         words = save(words, "word-counts")
         top = words.where(admissible).select("tf").orderBy(F.desc("tf")).limit(max_features)
         found, least = top.agg(F.count(F.lit(1)), F.min("tf")).first()
         if found == max_features:
-            pairs = _pairs_within(pairs, words.where(F.col("tf") >= least).select("term"))
-    return words.unionByName(count_terms(pairs)).where(admissible)
+            n_words = words.agg(F.sum("tf")).first()[0]
+            pairs = frequent_pairs(docs, tokens, least, n_words, pair_buckets)
+    return words.unionByName(count_terms(occurrences(docs, pairs))).where(admissible)
+
+
+def frequent_pairs(
+    docs: DataFrame, tokens: str, least: int, n_words: int, pair_buckets: int = PAIR_BUCKETS
+) -> Column:
+    """The pairs of a row that may occur `least` times or more in all rows, with their repeats.
+
+    A count by bucket is at least that of each pair in it: a count-min sketch of one line. It has
+    so many buckets that their mean is a quarter of `least`, but `pair_buckets` at most, so a map
+    task holds and ships no more than that many numbers, however many distinct pairs there are.
+    Word frequencies fall about as 1 / rank, so `n_words / least` hardly grows with the input. One bit
+    for each bucket reaches the driver and, as a literal, the plan.
+    """
+    buckets = 64
+    while buckets < min(pair_buckets, 4 * n_words / least):
+        buckets *= 2
+    bucket = f"(xxhash64(a, b) & {buckets - 1}L)"
+    counted = (
+        docs.select(F.explode(F.expr(neighbours_sql(tokens, bucket))).alias("bucket"))
+        .groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    )
+    heavy = counted.where(F.col("n") >= least).groupBy(F.expr("bucket div 64").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(bucket & 63L AS int)))").alias("bits")
+    )
+    bits = [0] * (buckets // 64)
+    for row in heavy.collect():
+        bits[row["at"]] = row["bits"]
+    listed = f"CAST(split('{','.join(map(str, bits))}', ',') AS array<bigint>)"
+    is_heavy = f"getbit({listed}[CAST({bucket} div 64 AS int)], CAST({bucket} & 63L AS int)) = 1"
+    made = neighbours_sql(tokens, f"CASE WHEN {is_heavy} THEN concat(a, ' ', b) END")
+    return F.expr(f"filter({made}, p -> p IS NOT NULL)")
 
 
 def top_terms(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -110,18 +146,3 @@ def build_vocabulary(
 def weighted(counts: DataFrame, n_docs: int) -> DataFrame:
     """Adds the smoothed inverse document frequency of each term."""
     return counts.withColumn("idf", F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0)
-
-
-def _pairs_within(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs with both words in `words`, which is broadcast if it was measured to be small."""
-    n, size = words.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first()
-    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
-        words = F.broadcast(words)
-    left, right = (words.withColumnRenamed("term", c) for c in ("_left", "_right"))
-    return (
-        pairs.withColumn("_left", F.substring_index("term", " ", 1))
-        .withColumn("_right", F.substring_index("term", " ", -1))
-        .join(left, "_left", "left_semi")
-        .join(right, "_right", "left_semi")
-        .select("term", "first")
-    )

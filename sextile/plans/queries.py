@@ -352,7 +352,9 @@ def train_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataF
 
 def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, n_docs, _ = train_words(spark, sf_dir)
-    top = vocabulary.top_terms(vocabulary.term_counts(docs, "words", n_docs))
+    fitted = vocabulary.build_vocabulary(docs, "words", n_docs)
+    rows = list(zip(fitted.terms, fitted.term_counts, fitted.doc_counts))
+    top = spark.createDataFrame(rows, "term string, tf long, df long")
     return rounded(vocabulary.weighted(top, n_docs), ["idf"])
 
 

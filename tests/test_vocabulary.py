@@ -12,7 +12,13 @@ from sextile.functions.text import tokens
 from sextile.operators import features
 from sextile.operators import vocabulary as module
 from sextile.operators.features import tfidf_entries, tfidf_vectors
-from sextile.operators.vocabulary import build_vocabulary, count_terms, occurrences, term_counts
+from sextile.operators.vocabulary import (
+    build_vocabulary,
+    count_terms,
+    frequent_pairs,
+    occurrences,
+    term_counts,
+)
 
 
 def corpus(n=60, seed=7):
@@ -41,10 +47,12 @@ def documents(spark, texts):
 
 
 @pytest.mark.parametrize("max_features", [1, 5, 20, 37, 60, 10_000])
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_vocabulary(spark, monkeypatch, max_features, broadcast_rows):
-    """Small limits make the list of words that can be in a pair short; 0 rows switch it off."""
-    monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("pair_buckets", [1, 1 << 20])
+def test_vocabulary(spark, monkeypatch, max_features, pair_buckets):
+    """The sketch of pairs changes nothing, be it so small that pairs collide or ample."""
+    monkeypatch.setattr(
+        module, "term_counts", lambda *given: term_counts(*given, pair_buckets=pair_buckets)
+    )
     texts = corpus()
     docs = documents(spark, texts)
     got = build_vocabulary(docs, "words", len(texts), max_features=max_features)
@@ -63,6 +71,30 @@ def test_pairs_of_rare_words_are_left_out_early(spark):
     assert some < every == len(by_hand(texts, None))
 
 
+@pytest.mark.parametrize("pair_buckets", [64, 1 << 12])
+def test_pairs_are_bounded_before_they_are_shuffled(spark, pair_buckets):
+    """Of nearly 40,000 distinct pairs some hundred numbers and the frequent pairs are shuffled."""
+    chance = random.Random(3)
+    names = [f"r{i}" for i in range(2000)]
+    texts = [" ".join([*chance.choices(names, k=20), "often met"]) for _ in range(2000)]
+    docs = documents(spark, texts)
+    tf = Counter(t for text in texts for t in python_terms(text))
+    counted = count_terms(occurrences(docs, frequent_pairs(docs, "words", 900, 44_000, pair_buckets)))
+    got = {r.term: r.tf for r in counted.collect()}
+    assert all(tf[t] == n for t, n in got.items())
+    assert got.keys() >= {t for t in tf if " " in t and tf[t] >= 900} == {"often met"}
+    # A bucket of 64 holds some 650 other pairs; finer ones hardly any.
+    assert len(got) < (len(tf) - 2002) / (15 if pair_buckets == 64 else 100)
+
+
+def test_frequent_pairs_of_odd_rows(spark):
+    rows = [(None,), ([],), (["a"],), (["a", "b"],), (["a", "b", "a", "b"],), (["\u00e9'", "\\"],)]
+    frame = spark.createDataFrame(rows, "w array<string>")
+    for least, expected in ((1, {"a b": 3, "b a": 1, "\u00e9' \\": 1}), (3, {"a b": 3}), (9, {})):
+        got = count_terms(occurrences(frame, frequent_pairs(frame, "w", least, 9))).collect()
+        assert {r.term: r.tf for r in got if r.tf >= least} == expected
+
+
 def test_counts_of_a_hot_term(spark):
     frame = spark.createDataFrame([(["a"] * 1000 + ["b"],), (["a"],), ([],)], "w array<string>")
     rows = {r.term: (r.tf, r.df) for r in count_terms(occurrences(frame, "w")).collect()}
