@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
+from .joins import join_keys
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -13,7 +14,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each round points every node to its smallest neighbour, follows the pointers twice, and keeps
     the links between unlike targets only; the rest of a star or chain is gone after a few rounds.
-    Every round is written to the shared folder, and nothing but a count reaches the driver.
+    Every round is written to the shared folder, and nothing but a count reaches the driver. One node
+    may have most of the links and become the root of most nodes: the pointers, one for each node, are
+    broadcast or salted in every join (`join_keys`), and minima are taken with partial minima.
     """
     edges = scratch.table(links.select("u", "v").where("u <> v"), "links")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
@@ -24,18 +27,19 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         hook = scratch.table(low.select("u", F.least("u", "v").alias("to")), "hook")
         for _ in range(2):
             step = hook.select(F.col("u").alias("to"), F.col("to").alias("far"))
-            hook = hook.join(step, "to").select("u", F.col("far").alias("to"))
-        hook = scratch.table(hook, "jumped")
+            far = join_keys(hook, step, ["to"], "inner", spread="u")
+            hook = scratch.table(far.select("u", F.col("far").alias("to")), "jumped")
+        at_root = hook.withColumnRenamed("u", "root")
         roots = scratch.table(
-            roots.join(hook.withColumnRenamed("u", "root"), "root", "left").select(
+            join_keys(roots, at_root, ["root"], "left", spread="node").select(
                 "node", F.coalesce("to", "root").alias("root")
             ),
             "roots",
         )
+        left = join_keys(edges, hook, ["u"], "inner", spread="v")
+        left = left.select(F.col("to").alias("a"), F.col("v").alias("u"))
         edges = scratch.table(
-            edges.join(hook, "u")
-            .select(F.col("to").alias("a"), F.col("v").alias("u"))
-            .join(hook, "u")
+            join_keys(left, hook, ["u"], "inner", spread="a")
             .select(F.least("a", "to").alias("u"), F.greatest("a", "to").alias("v"))
             .where("u <> v")
             .distinct(),

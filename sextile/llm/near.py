@@ -225,7 +225,8 @@ def near_duplicates(
         members.where("keys is not null").select("rep", F.explode("keys").alias("key")), "keys"
     )
     shared = keyed.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("last"))
-    stars = keyed.join(shared.where("v < last").drop("last"), "key")
+    shared = scratch.table(shared.where("v < last").drop("last"), "shared")
+    stars = join_keys(keyed, shared, ["key"], "inner", spread="rep")
     clusters = components(stars.select(F.col("rep").alias("u"), "v").distinct(), scratch)
     links = _confirmed(texts, members, clusters, params, scratch)
     roots = components(links, scratch).select(F.col("node").alias("rep"), "root")
@@ -250,8 +251,8 @@ def _confirmed(texts, members, clusters, params: NearParams, scratch: Scratch) -
     """Links that join up whatever is linked within a cluster."""
     sized = members.where("keys is not null").select(F.col("doc_id").alias("node"), "n_shingles").distinct()
     clustered = scratch.table(clusters.join(sized, "node"), "clustered")
-    room = clustered.groupBy("root").agg(_room(params).alias("blocks"))
-    dealt = clustered.join(room, "root").select(
+    room = scratch.table(clustered.groupBy("root").agg(_room(params).alias("blocks")), "room")
+    dealt = join_keys(clustered, room, ["root"], "inner", spread="node").select(
         F.col("node").alias("doc_id"),
         F.col("root").alias("cluster"),
         "blocks",
@@ -282,17 +283,19 @@ def _confirmed(texts, members, clusters, params: NearParams, scratch: Scratch) -
         .groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("most"))
         .select("cluster", F.col("most.root").alias("main"))
     )
-    others = parts.join(main, "cluster").where("root <> main").select("cluster", "blocks", "doc_id")
+    main = scratch.table(main, "main")
+    others = join_keys(parts, main, ["cluster"], "inner").where("root <> main")
+    others = others.select("cluster", "blocks", "doc_id")
     others = scratch.table(others.join(sized.withColumnRenamed("node", "doc_id"), "doc_id"), "others")
-    rooms = others.groupBy("cluster").agg(_room(params).alias("chunks"))
-    visitors = others.join(rooms, "cluster").selectExpr(
+    rooms = scratch.table(others.groupBy("cluster").agg(_room(params).alias("chunks")), "rooms")
+    visitors = join_keys(others, rooms, ["cluster"], "inner").selectExpr(
         "cluster", "blocks", "doc_id", "pmod(xxhash64(doc_id, 1), chunks) as chunk"
     )
     # A chunk of members outside the main part meets each block in a group of its own.
     guests = split.select("doc_id", "block", "shingles").join(visitors, "doc_id").selectExpr(
         "cluster", "explode(sequence(0L, blocks - 1)) as at", "chunk", "doc_id", "shingles", "block"
     )
-    hosts = split.join(rooms, "cluster").selectExpr(
+    hosts = join_keys(split, rooms, ["cluster"], "inner").selectExpr(
         "cluster", "block as at", "explode(sequence(0L, chunks - 1)) as chunk", "doc_id", "shingles"
     )
     met = guests.where("block <> at").drop("block").unionByName(hosts)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sextile.llm import decontaminate, exact, html, langid, licences, near, packing, pii, repeats, warc
+from sextile.llm import decontaminate, exact, html, joins, langid, licences, near, packing, pii, repeats, warc
 from sextile.llm.components import components
 from sextile.sources.shared import Scratch
 
@@ -89,6 +89,15 @@ def test_near(docs, texts, scratch, k, percent, rows):
     assert near.near_duplicates(empty(docs), scratch, params).count() == 0
 
 
+def test_components_of_a_hot_node(spark, scratch, monkeypatch):
+    """Salted joins in place of broadcasts: a star with a long tail, and a pair beside it."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    links = [(500, i) for i in range(100, 400)] + [(i, i + 1) for i in range(500, 520)] + [(7, 9)]
+    got = components(spark.createDataFrame(links, "u long, v long"), scratch).collect()
+    star = {*range(100, 400), *range(500, 521)}
+    assert sorted(tuple(r) for r in got) == [(7, 7), (9, 7), *((i, 100) for i in sorted(star))]
+
+
 def test_components(spark, scratch):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     got = components(spark.createDataFrame(links, "u long, v long"), scratch).collect()
