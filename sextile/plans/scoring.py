@@ -107,7 +107,7 @@ def predict(spark: SparkSession, model: PipelineModel, text: str) -> dict:
     The first call for a model reads its vocabulary and weights, later ones use them again.
     """
     if text is None:
-        raise ValueError("there is no text")
+        raise ValueError("the text is null")
     if model not in _scorers:
         _scorers[model] = TextScorer(model)
     return _scorers[model](spark, text)
