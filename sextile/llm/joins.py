@@ -22,5 +22,5 @@ def join_keys(
     if keys.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keys), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    every = keys.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     return salted.join(every, [*on, "_salt"], how).drop("_salt")
