@@ -4,10 +4,12 @@ import os
 from dataclasses import replace
 
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sextile import ForestParams, predict, score, score_and_log, train
-from sextile.operators import analytics
+from sextile.operators import analytics, features
 from sextile.plans import queries, scoring, training
 from sextile.sources import bundle, store
 from sextile.sources.shared import shared_dir
@@ -145,6 +147,29 @@ def test_progress(spark):
     assert "split: 48 train, 12 test" in said
 
 
+@pytest.mark.parametrize("n_rows", [51_200, 512_000, 3_072_000, 20_000_000, 10**8])
+def test_a_task_of_the_fit_has_few_binned_rows(n_rows):
+    """128 MB where up to a few thousand tasks can do, and never more than 1 GB."""
+    each = n_rows * 5000 * 4 / training.fit_partitions(n_rows, 5000)
+    assert each <= (2**27 if n_rows <= 20_000_000 else 2**30)
+
+
+def test_a_pass_of_the_fit_reads_its_rows_once(spark):
+    """Rows do not remember their nodes, which would read them twice and more, and the forest is the same."""
+    rows = [(i, float(i % 3), Vectors.dense([i % 3 + i % 5, i % 7, i % 2])) for i in range(300)]
+    frame = spark.createDataFrame(rows, ["id", features.LABEL_INDEX, features.FEATURES])
+    forest = training.fit_forest(frame, "id", TINY, 4)
+    assert not forest.getCacheNodeIds()
+    placed = frame.repartition(4, "id").sortWithinPartitions("id")
+    remembering = RandomForestClassifier(
+        labelCol=features.LABEL_INDEX, featuresCol=features.FEATURES, numTrees=TINY.num_trees,
+        maxDepth=TINY.max_depth, minInstancesPerNode=TINY.min_leaf, featureSubsetStrategy="sqrt",
+        seed=TINY.seed, cacheNodeIds=True,
+    ).fit(placed)
+    shown = [m.toDebugString.split("\n", 1)[1] for m in (forest, remembering)]
+    assert shown[0] == shown[1]
+
+
 def test_save_and_load(spark, trained, folder):
     path = bundle.save_model(spark, trained.model, trained.metadata, folder, "first")
     assert path == f"{folder}/first"
