@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sextile.functions.constants import ARTICLE_COLUMNS
 from sextile.sources import csv
 from sextile.plans import queries
-from sextile.sources.shared import Scratch, new_path, spread
+from sextile.sources.shared import Scratch, new_path, shared_dir, spread, stored_bytes
 
 
 def write(path, text):
@@ -143,3 +143,35 @@ def test_split_query_reads_one_file_in_many_tasks(spark):
         assert lines.select(F.spark_partition_id()).distinct().count() >= 8
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_large_sources_have_larger_blocks(spark, folder):
+    """The number of blocks, and with it what all tasks report to the driver, stays bounded."""
+    for part in range(2):
+        write(pathlib.Path(folder, f"{part}.csv"), "a,b\n" + '"x\ny",2\n' * 5_000)
+    total = stored_bytes(spark, folder)
+    assert total == stored_bytes(spark, f"{folder}/*.csv") == 2 * (4 + 8 * 5_000)
+    size = csv.block_size(spark, folder, 100)
+    assert 100 < size and -(-total // size) <= csv.MANY_BLOCKS
+    assert csv.block_size(spark, folder, 1_000) == 1_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert csv.block_size(spark, folder, 100) == 200
+        assert csv.block_size(spark, folder, 1_000) == 1_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    landed = csv.land_csv(spark, folder, f"{folder}-landed", 100)
+    assert [tuple(r) for r in landed.groupBy("a", "b").count().collect()] == [("x\ny", "2", 10_000)]
+
+
+def test_split_query_writes_a_large_table_by_many_tasks(spark, folder, monkeypatch):
+    rows = [(i, None if i % 9 == 0 else f'head "{i}"\nline,\n{"x" * i}', "en", f"src{i % 3}", i) for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.repartition(8).write.parquet(f"{folder}/documents.parquet")
+    total = stored_bytes(spark, f"{folder}/documents.parquet")
+    monkeypatch.setattr(queries, "CSV_FILE", -(-total // 4))
+    before = set(glob.glob(f"{shared_dir(spark)}/articles-csv-*/part-*"))
+    got = queries.csv_split(spark, folder)
+    written = set(glob.glob(f"{shared_dir(spark)}/articles-csv-*/part-*")) - before
+    assert len(written) == 4
+    assert sorted(map(str, got.collect())) == sorted(map(str, queries.csv_articles(spark, folder).collect()))
